@@ -190,7 +190,7 @@ def blend(src, alpha, dst) -> Column:
 
 def tint(diffuse, mask, team) -> Column:
     """Team colour under a mask, in whole numbers."""
-    return F.expr("0") + ((diffuse * (255 - mask) + F.least(F.lit(255), F.floor(2 * diffuse * team / 255)) * mask) / 255).cast("int")
+    return F.floor((diffuse * (255 - mask) + F.least(F.lit(255), F.floor(2 * diffuse * team / 255).cast("int")) * mask) / 255).cast("int")
 
 
 # ---- nibbles --------------------------------------------------------------------------------------------------------
