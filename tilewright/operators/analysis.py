@@ -165,7 +165,10 @@ def per_map(maps: DataFrame, attributes: DataFrame, kernel, columns: list[str],
                 rows = list(kernel(row, shared.value))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return maps.select(*columns).repartition(F.col(columns[0])).mapInArrow(run, sql)
+    # a number of its own keeps the adaptive planner from merging the few bytes of many maps into one task
+    conf = maps.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    tasks = max(4 * maps.sparkSession.sparkContext.defaultParallelism, int(conf))
+    return maps.select(*columns).repartition(tasks, F.col(columns[0])).mapInArrow(run, sql)
 
 
 MAP_COLUMNS = ["map_id", "map_name", "tileset_key", "width_tiles", "height_tiles", "tiles", "mineral_fields", "geysers", "start_locations"]

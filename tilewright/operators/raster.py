@@ -243,7 +243,7 @@ def downsample_factor(w: int, h: int, most: int) -> int:
 def box_downsample(image: np.ndarray, f: int) -> np.ndarray:
     """Box averages in whole numbers; rows and columns that fill no box are dropped."""
     h, w = image.shape[0] // f, image.shape[1] // f
-    boxes = image[: h * f, : w * f].reshape(h, f, w, f, -1).astype(int).sum(axis=(1, 3)) // (f * f)
+    boxes = image[: h * f, : w * f].reshape(h, f, w, f, -1).sum(axis=(1, 3), dtype=np.uint32) // (f * f)
     return boxes.astype(np.uint8).reshape(h, w, *image.shape[2:])
 
 
