@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.session import collect_at_most
+
 LISTS = ("starting_locations", "expansions")
 KEYS = [("result_id", pa.int64()), ("node_kind", pa.string()), ("base_list", pa.string()), ("base_pos", pa.int32()), ("item_pos", pa.int32()), ("end_pos", pa.int32())]
 #: Columns that each kind of node brings along, with their path in the node's struct.
@@ -27,6 +29,7 @@ PAYLOAD = {
     "end": {"x": "int", "y": "int"},
 }
 ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+REPEATED = 100_000  # ids of results stored several times that may be broadcast
 SLICE = 2_000  # results flattened at a time; a result has some hundred nodes
 
 
@@ -103,6 +106,24 @@ def once(results: DataFrame) -> DataFrame:
     return narrow.withColumn("same", same).dropDuplicates(["result_id", "same"]).drop("same")
 
 
+def once_by_ids(results: DataFrame, most: int = REPEATED) -> DataFrame:
+    """As ``once`` without shuffling the wide rows: only ids are counted, and only rows of repeated ids are brought together.
+
+    Beyond ``most`` repeated ids, which are broadcast, everything goes through ``once``.
+    """
+    repeated = results.where("result_id is not null").groupBy("result_id").count().where("count > 1").select("result_id")
+    rows = collect_at_most(repeated, most)
+    if rows is None:
+        return once(results)
+    narrow = results.select("result_id", *LISTS)
+    if not rows:
+        return narrow.where("result_id is not null").unionByName(once(narrow.where("result_id is null")))
+    ids = F.broadcast(results.sparkSession.createDataFrame(rows, repeated.schema))
+    single = narrow.where("result_id is not null").join(ids, "result_id", "left_anti")
+    several = narrow.join(ids, "result_id", "left_semi")
+    return single.unionByName(once(several.unionByName(narrow.where("result_id is null"))))
+
+
 def flatten(results: DataFrame, kinds: tuple[str, ...] = ("base", "vertex", "choke", "end"), payload: bool = False) -> DataFrame:
     """The nodes of all results; with ``payload`` (one kind only) the node's own columns too."""
     if payload and len(kinds) != 1:
@@ -116,7 +137,7 @@ def flatten(results: DataFrame, kinds: tuple[str, ...] = ("base", "vertex", "cho
             for lo in range(0, b.num_rows, SLICE):
                 yield from nodes(b.slice(lo, SLICE), kinds, payload)
 
-    return once(results).mapInArrow(run, schema)
+    return once_by_ids(results).mapInArrow(run, schema)
 
 
 def tables(results: DataFrame) -> dict[str, DataFrame]:

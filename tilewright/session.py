@@ -55,3 +55,9 @@ def collect_bounded(df: DataFrame, bound: int, what: str) -> list:
 def small_enough(df: DataFrame, bound: int) -> bool:
     """Whether a side has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
     return len(df.select(*df.columns[:1]).limit(bound + 1).collect()) <= bound
+
+
+def collect_at_most(df: DataFrame, bound: int) -> list | None:
+    """The rows, if there are at most ``bound``; None otherwise, having read no more than ``bound + 1``."""
+    rows = df.limit(bound + 1).collect()
+    return rows if len(rows) <= bound else None
