@@ -161,9 +161,10 @@ def fill(sized: DataFrame, profiles: DataFrame, documents: int | None = None, ch
     out_schema = "profile string, bin_id string, doc_id long, part long, tokens long"
     if not sizes_of:
         return spark.createDataFrame([], out_schema)
+    # sizes are costly and read by every branch below: computed once, two numbers a document
+    sized = cut(sized.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("n")))
     n = sized.count() if documents is None else documents
     chunks = max(1, -(-n // chunk))
-    sized = sized.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("n"))
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).cast("long").alias("capacity")) for p, c in sizes_of)))
     items = sized.select("doc_id", "n", each.alias("p")).select("doc_id", "n", "p.profile", "p.capacity")
     # a document that alone exceeds the capacity: full parts are bins of their own, the rest is an item
