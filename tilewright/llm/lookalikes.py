@@ -4,7 +4,8 @@ DuckDB runs inside the Arrow partitions: each batch's distinct names go through
 ``translate``, ``nfc_normalize`` and regular expressions. Order of the steps: colour codes and invisible characters
 are dropped, every space becomes U+0020, compatibility forms of letters and numbers become plain ones (one-to-one forms
 by ``translate``, ligatures and the like by a lookup per character), composition, and at last, word by word, look-alike
-letters take the script of the word's own letters.
+letters take the script of the word's own letters. A word with unmistakable letters of two scripts, such as a name with
+a version mark glued to it, is left alone.
 
 A name is a *case* if a step changed a letter, number, space or invisible character. Colour codes, punctuation (also
 full-width) and decoration are no case; nor are words wholly in another script, or names that are garbled (problem 1).
@@ -91,7 +92,8 @@ def _sql() -> str:
     cyr_like, greek_like = CYRILLIC, GREEK
     first = {}
     for c, l in zip(CYRILLIC, CYRILLIC_LATIN):
-        first.setdefault(l, c)
+        if c not in "ЈЅԁһјԛѕԝӏѵ":  # letters that no word of the tables' Cyrillic languages has
+            first.setdefault(l, c)
     to_cyr = ("".join(first), "".join(first.values()))
     first = {}
     for c, l in zip(GREEK, GREEK_LATIN):
@@ -103,6 +105,8 @@ def _sql() -> str:
     scripts = "(regexp_matches(w, '\\p{Latin}')::int + regexp_matches(w, '\\p{Cyrillic}')::int + regexp_matches(w, '\\p{Greek}')::int)"
     fixed = f"""CASE
         WHEN NOT regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN w
+        WHEN {scripts} > 1 AND regexp_matches(w, '[{latin_only}]') AND ({own_cyr} OR {own_greek}) THEN w
+        WHEN regexp_matches(w, '^[\\p{{Cyrillic}}\\p{{Greek}}]+[vV]$') AND ({own_cyr} OR {own_greek}) THEN w
         WHEN {scripts} > 1 THEN CASE WHEN regexp_matches(w, '[{latin_only}]') THEN {tr('w', to_latin)}
              WHEN {own_cyr} THEN {tr('w', to_cyr)} WHEN {own_greek} THEN {tr('w', to_greek)} ELSE {tr('w', to_latin)} END
         WHEN latin_name AND NOT {own_cyr} AND NOT {own_greek} THEN {tr('w', to_latin)}
