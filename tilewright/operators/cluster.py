@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilewright import constants as K
+from tilewright.session import respread
 
 
 def distances(p: np.ndarray) -> np.ndarray:
@@ -257,7 +258,7 @@ def per_layout(uploads: DataFrame, key: str, kernel, sql: str) -> DataFrame:
                         rows[n].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return uploads.select(key, *LAYOUT).mapInArrow(run, f"{key} long, {sql}")
+    return uploads.select(key, *LAYOUT).transform(respread).mapInArrow(run, f"{key} long, {sql}")
 
 
 def bases(uploads: DataFrame, key: str = "replay_id") -> DataFrame:

@@ -61,3 +61,18 @@ def collect_at_most(df: DataFrame, bound: int) -> list | None:
     """The rows, if there are at most ``bound``; None otherwise, having read no more than ``bound + 1``."""
     rows = df.limit(bound + 1).collect()
     return rows if len(rows) <= bound else None
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores where its files make fewer splits than that; large inputs pass unchanged.
+
+    For operators whose work is far heavier than their bytes. ``df`` should be narrow already and free of shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def respread(df: DataFrame) -> DataFrame:
+    """Spread an aggregate over the session's shuffle partitions, whatever few bytes it has: the next step is heavy."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
