@@ -1,7 +1,6 @@
 """Resource points to bases: minimum spanning tree, cuts, parameter search, centre merge, radii.
 
-One numpy kernel per map, run over Arrow batches without any shuffle. Uploads of one map repeat its layout, so a worker
-keeps the bases of the layouts it has seen.
+One numpy kernel per map, run over Arrow batches, once per distinct layout however many uploads have it.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tilewright import constants as K
 from tilewright.session import respread
@@ -237,28 +237,29 @@ def arrow_schema(sql: str) -> pa.Schema:
 
 
 def per_layout(uploads: DataFrame, key: str, kernel, sql: str) -> DataFrame:
-    """Rows ``kernel(w, h, minerals, geysers, starts) -> list of dicts`` of each upload; equal layouts are computed once per worker."""
-    schema = arrow_schema(f"{key} long, {sql}")
+    """Rows ``kernel(w, h, minerals, geysers, starts) -> list of dicts`` of each upload.
+
+    Uploads of one map repeat its layout, so the kernel runs once per distinct layout, told by a 96-bit hash, and its rows
+    are joined back by that hash: narrow on the side of the uploads, so that a layout on a third of them only makes a long
+    join partition, which the adaptive planner splits.
+    """
+    schema = arrow_schema(f"layout string, {sql}")
+    id_ = F.concat_ws("-", F.xxhash64(*LAYOUT).cast("string"), F.hash(*LAYOUT).cast("string"))
+    u = uploads.select(key, id_.alias("layout"), *LAYOUT)
 
     def run(batches):
-        known: dict = {}
         for b in batches:
             rows: dict[str, list] = {n: [] for n in schema.names}
-            w, h = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i, *layout in zip(b.column(0).to_pylist(), w, h, *(map(tuple, xy(b.column(c))) for c in (3, 4, 5))):
-                k = tuple(layout)
-                got = known.get(k)
-                if got is None:
-                    if len(known) > 5_000:
-                        known.clear()
-                    got = known[k] = kernel(layout[0] or 0, layout[1] or 0, *layout[2:])
-                for r in got:
-                    rows[key].append(i)
+            for i, w, h, *points in zip(*(b.column(c).to_pylist() for c in range(3)), *(xy(b.column(c)) for c in (3, 4, 5))):
+                for r in kernel(w or 0, h or 0, *points):
+                    rows["layout"].append(i)
                     for n, v in r.items():
                         rows[n].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return uploads.select(key, *LAYOUT).transform(respread).mapInArrow(run, f"{key} long, {sql}")
+    distinct = u.groupBy("layout").agg(F.first(F.struct(*LAYOUT)).alias("l")).select("layout", "l.*")
+    done = respread(distinct).mapInArrow(run, f"layout string, {sql}")
+    return u.select(key, "layout").join(done, "layout").drop("layout")
 
 
 def bases(uploads: DataFrame, key: str = "replay_id") -> DataFrame:
