@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm import encoding_repair, lookalikes
+from tilewright.session import widen
 
 MAX_FORMS = 20_000
 APOSTROPHE = re.compile("['’‘`´]")
@@ -240,7 +241,7 @@ def resolve(metadata: DataFrame, results: DataFrame, catalog: DataFrame, model=N
         # at most about max_forms rows reach the driver and the executors at a time
         part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("catalog_id"), F.lit(blocks)) == k)
         block = spark.sparkContext.broadcast(sorted((r[0], r[1], r[2]) for r in part.collect()))
-        got = names.mapInArrow(lookalikes.clean_batches(shared, finisher(block)), "src_table string, row_id long, catalog_id long, how string, score double")
+        got = widen(names).mapInArrow(lookalikes.clean_batches(shared, finisher(block)), "src_table string, row_id long, catalog_id long, how string, score double")
         out = got if out is None else out.unionByName(got)
     once = out.dropDuplicates(["src_table", "row_id"]) if blocks == 1 else _best(out)
     return once

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.session import collect_bounded, cut
+from tilewright.session import collect_bounded, cut, widen
 
 FIELDS = ("mapname", "mapdataname", "widthtiles", "heighttiles", "tilesetkey")
 BUCKET = 20_000  # partials a bucket may hold at least
@@ -135,7 +135,7 @@ def partials(records: DataFrame) -> DataFrame:
                 trie = Trie()
         yield _table(list(trie.items()))
 
-    return records.select("record_id", "raw").mapInArrow(run, PARTIAL_SQL)
+    return widen(records.select("record_id", "raw")).mapInArrow(run, PARTIAL_SQL)
 
 
 def bucket_of(key: bytes, splits: set[bytes]) -> bytes:
@@ -208,7 +208,7 @@ def found(records: DataFrame) -> DataFrame:
     total = max(1, records.count())
     hot = multiple.where(F.col("copies") * HOT > total)  # fewer than HOT groups can hold more than 1/HOT of the rows
     rest = multiple.where(F.col("copies") * HOT <= total)
-    keyed = records.select("record_id", "raw").where("record_id is not null").mapInArrow(keys, "record_id long, key binary")
+    keyed = widen(records.select("record_id", "raw").where("record_id is not null")).mapInArrow(keys, "record_id long, key binary")
     # One pass and one shuffle: rows of hot groups are answered by the broadcast and travel under keys of their own,
     # which meet nothing and spread evenly.
     marked = keyed.join(F.broadcast(hot.select("key", F.col("first_id").alias("hot_id"))), "key", "left").select(

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.session import widen
+
 LANGUAGES = ["en", "ko", "de", "ru", "es", "fr", "pl", "pt", "zh", "ja", "uk"]
 # Other spellings of the languages' names and codes.
 SPELLINGS = {
@@ -186,7 +188,7 @@ def _counts(sample: DataFrame, filters=None) -> dict[int, tuple[np.ndarray, np.n
                     u, n = np.unique(np.concatenate(hs), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(u), lang, np.int32)), "h": pa.array(u.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    rows = sample.select("text", "label").mapInArrow(run, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where("n >= 3")
+    rows = widen(sample.select("text", "label")).mapInArrow(run, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where("n >= 3")
     t = rows.toArrow()  # bounded by the sample
     lang, h, n = (t.column(c).to_numpy() for c in ("lang", "h", "n"))
     return {int(k): (h[lang == k].view(np.uint64), n[lang == k].astype(float)) for k in np.unique(lang)}
@@ -273,7 +275,7 @@ def classify(documents: DataFrame, filters: Filters | None = None) -> DataFrame:
                         [ids.take(take), pa.array(no.astype(np.int32)), pa.array(names[l], pa.string()), pa.array(c.astype(float)), pa.array(langs[at]), labels.take(take)], schema=LINE
                     )
 
-    return documents.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, line_no int, lang string, confidence double, n_langs int, label string")
+    return widen(documents.select("doc_id", "text", "lang")).mapInArrow(run, "doc_id long, line_no int, lang string, confidence double, n_langs int, label string")
 
 
 def found(documents: DataFrame, filters: Filters | None = None) -> DataFrame:

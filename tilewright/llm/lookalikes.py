@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import encoding_repair
+from tilewright.session import widen
 
 # Look-alike letters, the same place in each pair of lines.
 CYRILLIC = "АВСЕНІЈКМОРЅТХУасԁеһіјкорԛѕԝхуӏѵ"
@@ -205,7 +206,7 @@ def normalise(metadata: DataFrame, results: DataFrame, model=None) -> DataFrame:
     """One row per delivered name: its one consistent form (``clean_name``) and whether it was a case."""
     model = model or encoding_repair.fit(encoding_repair.metadata_values(metadata))
     shared = metadata.sparkSession.sparkContext.broadcast(model)
-    return stack(metadata, results).mapInArrow(clean_batches(shared), SCHEMA)
+    return widen(stack(metadata, results)).mapInArrow(clean_batches(shared), SCHEMA)
 
 
 def found(metadata: DataFrame, results: DataFrame, model=None) -> DataFrame:

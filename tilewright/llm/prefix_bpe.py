@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tilewright.session import widen
+
 CACHE = 400_000  # words kept per Python worker
 FLUSH = 1_000_000  # ids per output batch
 
@@ -212,7 +214,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, k + 1 - lo), lists], names=["doc_id", "ids"])
                     flat, offsets, lo = [], [0], k + 1
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return widen(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def sizes(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -225,4 +227,4 @@ def sizes(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
             n = pa.array([len(v.encode(t.as_py())) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n], names=["doc_id", "tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long")
+    return widen(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, tokens long")
