@@ -270,3 +270,107 @@ def test_composite_and_locate():
     assert raster.locate(atlas, image, [(0, 0, 3, 3), (2, 2, 8, 8)]) == (1, 4, 3)
     image[0, 0, 0] += 1
     assert raster.locate(atlas, image, [(0, 0, 8, 8)]) is None
+
+
+def read_jpeg(data):
+    """A small decoder for what the encoder writes: baseline, three components, no subsampling."""
+    from tilewright.operators import jpeg
+
+    at, quants, codes, head = 2, {}, {}, None
+    while True:
+        mark, n = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        body = data[at + 4 : at + 2 + n]
+        at += 2 + n
+        if mark == 0xDB:
+            q = np.zeros(64)
+            q[jpeg.ZIGZAG] = list(body[1:])
+            quants[body[0]] = q
+        elif mark == 0xC0:
+            head = struct.unpack(">BHHB", body[:6])
+        elif mark == 0xC4:
+            table, code, k = {}, 0, 17
+            for length, count in enumerate(body[1:17], 1):
+                for _ in range(count):
+                    table[length, code] = body[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+            codes[body[0]] = table
+        elif mark == 0xDA:
+            break
+    bits = np.unpackbits(np.frombuffer(data[at:-2].replace(b"\xff\x00", b"\xff"), dtype=np.uint8)).tolist()
+    p = 0
+
+    def take(n):
+        nonlocal p
+        v = 0
+        for b in bits[p : p + n]:
+            v = v << 1 | b
+        p += n
+        return v
+
+    def symbol(table):
+        code = length = 0
+        while (length, code) not in table or length == 0:
+            code, length = code << 1 | take(1), length + 1
+        return table[length, code]
+
+    def value(n):
+        v = take(n)
+        return v if n == 0 or v >> (n - 1) else v - (1 << n) + 1
+
+    _, h, w, _ = head
+    rows, cols = -(-h // 8), -(-w // 8)
+    planes, last = np.zeros((3, rows * 8, cols * 8)), [0, 0, 0]
+    for y in range(rows):
+        for x in range(cols):
+            for c in range(3):
+                z = np.zeros(64)
+                last[c] += value(symbol(codes[0x00]))
+                z[0], k = last[c], 1
+                while k < 64:
+                    s = symbol(codes[0x10])
+                    if s == 0:
+                        break
+                    k += s >> 4
+                    if s != 0xF0:
+                        z[k] = value(s & 15)
+                    k += 1
+                block = np.zeros(64)
+                block[jpeg.ZIGZAG] = z
+                planes[c, y * 8 : y * 8 + 8, x * 8 : x * 8 + 8] = jpeg.DCT.T @ (block * quants[min(c, 1)]).reshape(8, 8) @ jpeg.DCT
+    luma, blue, red = planes
+    rgb = np.stack((luma + 128 + 1.402 * red, luma + 128 - 0.344136 * blue - 0.714136 * red, luma + 128 + 1.772 * blue), axis=-1)
+    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)[:h, :w]
+
+
+def test_jpeg():
+    from tilewright.operators import jpeg
+
+    y, x = np.mgrid[0:37, 0:50]
+    smooth = np.stack((x * 5, y * 6, 255 - x * 3 - y), axis=-1).astype(np.uint8)
+    noise = np.random.default_rng(2).integers(0, 256, (24, 16, 4)).astype(np.uint8)
+    assert np.abs(read_jpeg(jpeg.encode(smooth, 95)).astype(int) - smooth).mean() < 2.5
+    assert np.abs(read_jpeg(jpeg.encode(noise, 100)).astype(int) - noise[..., :3]).mean() < 3
+    assert (read_jpeg(jpeg.encode(np.full((8, 8, 3), 200, dtype=np.uint8), 50)) == 200).all()
+    assert len(jpeg.encode(smooth, 10)) < len(jpeg.encode(smooth, 95))
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            jpeg.encode(smooth, bad)
+
+
+def test_units(spark):
+    from tilewright.operators import units
+
+    names = spark.createDataFrame([(0, "Terran Marine"), (7, "terran  SCV"), (3, "Goliath"), (4, "goliath"), (9, "")], "unit_id int, unit_name string")
+    req = spark.createDataFrame([("0",), (" TERRAN scv ",), ("Goliath",), ("999",), ("nobody",), ("",), (None,), ("99999999999",)], "name string")
+    got = {r["name"]: (r["unit_id"], r["error"] is None) for r in units.resolve(req, names).collect()}
+    assert got == {"0": (0, True), " TERRAN scv ": (7, True), "Goliath": (3, True), "999": (None, False), "nobody": (None, False), "": (None, False), None: (None, False), "99999999999": (None, False)}
+    u = spark.createDataFrame([(103, "burrowed", False), (5, None, True)], "unit_id int, variant string, shadow boolean")
+    a = spark.createDataFrame([("u103_burrowed", 1, 2), ("u5.shadow", 3, 4)], "anchor_key string, anchor_x int, anchor_y int")
+    assert {(r["sprite"], r["anchor_x"]) for r in units.anchors(u, a).collect()} == {("u103_burrowed", 1), ("u5", 3)}
+    chain = units.unit_images(spark.createDataFrame([(1, 2)], "unit int, flingy int"), spark.createDataFrame([(2, 3)], "flingy int, sprite int"), spark.createDataFrame([(3, 4)], "sprite int, image int"))
+    assert [tuple(r) for r in chain.collect()] == [(1, 4)]
+    images = spark.createDataFrame([(1, "a.grp"), (2, "A.GRP"), (3, "b.grp"), (4, "c.grp")], "image int, grp_name string")
+    have = spark.createDataFrame([(2,), (3,)], "image int")
+    want = spark.createDataFrame([(1,), (2,), (3,), (4,)], "image int")
+    assert {tuple(r) for r in units.with_siblings(want, images, have).collect()} == {(1, 2), (2, 2), (3, 3), (4, None)}

@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright import constants as K
 from tilewright.operators import analysis as A
-from tilewright.operators import cluster, outline, raster, regions, terrain
+from tilewright.operators import cluster, jpeg, outline, raster, regions, terrain
 from tilewright.operators.cluster import arrow_schema
 
 
@@ -166,6 +167,27 @@ def render(m: DataFrame, attributes: DataFrame, most: int | None = None, layers:
     return A.per_map(m, attributes, kernel, A.MAP_COLUMNS, "map_id long, width int, height int, png binary, error string", RENDER)
 
 
+JPEG = pa.schema([("map_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("jpeg", pa.binary()), ("error", pa.string())])
+
+
+def render_jpeg(m: DataFrame, attributes: DataFrame, most: int = K.IMAGE_MAX_DIM, quality: int = 85) -> DataFrame:
+    """(map_id, width, height, jpeg, error): each map drawn, halved until it fits ``most`` pixels, as JPEG."""
+    if most <= 0 or not 1 <= quality <= 100:
+        raise ValueError("invalid size or quality")
+
+    def kernel(row, tables):
+        try:
+            w, h = row["width_tiles"] or 0, row["height_tiles"] or 0
+            image = raster.render(pack_from(tables, A.folder_of(row["tileset_key"])), w, h, np.array(row["tiles"] or [], dtype=np.int64))
+            if (f := raster.downsample_factor(image.shape[1], image.shape[0], most)) > 1:
+                image = raster.box_downsample(image, f)
+            yield {"map_id": row["map_id"], "width": image.shape[1], "height": image.shape[0], "jpeg": jpeg.encode(image, quality), "error": None}
+        except (ValueError, KeyError) as e:
+            yield {"map_id": row["map_id"], "error": str(e)}
+
+    return A.per_map(m, attributes, kernel, A.MAP_COLUMNS, "map_id long, width int, height int, jpeg binary, error string", JPEG)
+
+
 def overlay(m: DataFrame, attributes: DataFrame, scale: int = 1) -> DataFrame:
     """(map_id, width, height, png, error): base regions and chokes over the drawn terrain."""
 
