@@ -35,12 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local
-    folder is used. Checkpoint files are shared, so the loss of an executor loses nothing.
+    The folder is the cluster's ``spark.checkpoint.dir``; only a local master (tests, a laptop) may leave it unset, then a
+    folder of its own is used. Checkpoint files are shared, so the loss of an executor loses nothing.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tilewright-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tilewright-ckpt-"))
     return df.checkpoint(eager=True)
 
 
