@@ -45,7 +45,7 @@ LEAST_SHARE = 0.45  # of its n-grams must be the language's
 LEAST_LEAD = 0.05  # over the next language
 ODD_LEAD = 0.12  # over the text's main language, for a line unlike most of its text
 ROWS = 2_000  # documents judged at a time
-CHARS = 4_000_000  # code points judged at a time
+CHARS = 1_000_000  # code points judged at a time
 
 
 def label_code(label: str | None) -> str | None:

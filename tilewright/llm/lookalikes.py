@@ -136,7 +136,7 @@ class Cleaner:
     """One embedded DuckDB per Python worker."""
 
     def __init__(self):
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         many = tables()[2]
         self.con.register("forms", pa.table({"f": list(many), "t": list(many.values())}))
         self.sql = _sql()
