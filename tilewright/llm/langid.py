@@ -134,9 +134,9 @@ class Filters:
 
     @staticmethod
     def places(h: np.ndarray):
-        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        for k in range(HASHES):
-            yield ((a + np.uint64(k) * b) % np.uint64(SLOTS)).astype(np.int64)
+        a, b, last = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1), np.uint64(SLOTS - 1)
+        for k in range(HASHES):  # SLOTS is a power of two
+            yield ((a + np.uint64(k) * b) & last).astype(np.int64)
 
     @classmethod
     def build(cls, grams: dict[int, np.ndarray]) -> Filters:
@@ -159,7 +159,7 @@ class Filters:
         m = self.masks(h)
         share = np.zeros((len(letters), len(LANGUAGES)))
         for k in range(len(LANGUAGES)):
-            hits = np.bincount(where, weights=(m >> np.uint16(k)) & 1, minlength=len(letters))
+            hits = np.bincount(where[(m & np.uint16(1 << k)) != 0], minlength=len(letters))
             share[:, k] = np.maximum(0, hits / np.maximum(n, 1) - self.false[k]) / (1 - self.false[k])
         order = np.sort(share, axis=1)
         best, lead = order[:, -1], order[:, -1] - order[:, -2]
