@@ -212,3 +212,29 @@ def test_analysis_of_given_maps(spark, data):
     rows = QUERIES["analyze"](spark, data).collect()
     assert rows and all((r["error"] is None) != (r["starting_locations"] is None) for r in rows)
     assert any("tile grid mismatch" == r["error"] for r in rows)
+
+
+def test_images_are_whole(spark, data, tmp_path):
+    """PNGs have 32 pixels a tile, JPEGs are halved only above their default of 2,560 pixels."""
+    import numpy as np
+
+    from tilewright.operators import analysis, maps, raster
+    from tilewright.plans.maps_queries import QUERIES
+    from tilewright.session import table
+
+    for name in ("map_grids", "map_catalog", "map_metadata", "tile_attr"):
+        t = table(spark, data, name)
+        if name == "map_grids":
+            whole = t.where("size(tiles) = width_tiles * height_tiles")
+            t = whole.where("width_tiles = 64 and height_tiles = 64").limit(1).unionByName(whole.where("width_tiles = 128 and height_tiles = 96").limit(1))
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    grids = {r["catalog_id"]: r for r in table(spark, str(tmp_path), "map_grids").collect()}
+    pngs = {r["map_id"]: r for r in QUERIES["tile_render"](spark, str(tmp_path)).collect()}
+    jpegs = {r["map_id"]: r for r in QUERIES["tile_jpeg"](spark, str(tmp_path)).collect()}
+    assert len(grids) == 2 and {k: (r["width"], r["height"]) for k, r in pngs.items()} == {k: (g["width_tiles"] * 32, g["height_tiles"] * 32) for k, g in grids.items()}
+    assert sorted((r["width"], r["height"]) for r in jpegs.values()) == [(2048, 1536), (2048, 2048)]
+    tables = analysis.tile_tables(table(spark, data, "tile_attr"))
+    for k, g in grids.items():
+        folder = analysis.folder_of(g["tileset_key"])
+        want = raster.render(maps.pack_from(tables, folder), g["width_tiles"], g["height_tiles"], np.array(g["tiles"]))
+        assert (raster.read_png(pngs[k]["png"]) == want).all()

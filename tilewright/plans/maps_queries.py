@@ -37,7 +37,7 @@ def _kernel(name, f):
 
 for _name, _f in (
     ("altitude", maps.altitudes), ("watershed", maps.areas), ("regions_chokes", maps.chokes), ("outline", maps.largest_parts), ("grid_bfs", maps.walks),
-    ("naturals", maps.natural_links), ("analyze", analysis.analyze), ("tile_render", lambda m, a: maps.render(m, a, most=1024)), ("tile_jpeg", lambda m, a: maps.render_jpeg(m, a, most=1024)), ("base_overlay", maps.overlay), ("qoi_roundtrip", maps.qoi_round_trip),
+    ("naturals", maps.natural_links), ("analyze", analysis.analyze), ("tile_render", maps.render), ("tile_jpeg", maps.render_jpeg), ("base_overlay", maps.overlay), ("qoi_roundtrip", maps.qoi_round_trip),
 ):
     _kernel(_name, _f)
 
