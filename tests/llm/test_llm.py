@@ -112,6 +112,12 @@ def test_canonical_map(spark):
         assert ("map_metadata", 40_000) not in got and ("map_metadata", 40_001) not in got and ("map_results", 8) not in got
 
 
+def test_every_candidate_is_measured():
+    """Forms that share more pairs with a name but cannot be meant by it take no places from the one that is."""
+    others = [(100 + i, f"Crmson Meridan SE {c}", None) for i, c in enumerate("bcefghijklmopqst")]
+    assert C.Resolver([*others, (1, "Crimson Meridian", None)]).resolve("Crmson Meridan")[:2] == (1, "similar")
+
+
 def test_formatting_duplicates(spark):
     rng = random.Random(4)
     rows = []

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -76,6 +77,7 @@ def edits(a: str, b: str, most: int) -> int:
 VOWELS = str.maketrans("", "", "aeiouаеёиоуыэюяαεηιουω")
 
 
+@lru_cache(maxsize=200_000)
 def word_similarity(typed: str, word: str) -> float:
     """1 for equal words; slips, a cut-off end and dropped vowels cost a share of the word's length."""
     if typed == word:
@@ -184,11 +186,8 @@ class Resolver:
             if g in self.pairs:
                 count[self.pairs[g]] += 1
         dice = 2 * count / (self.sizes + len(grams))
-        order = np.argsort(-dice, kind="stable")[:12]
         best: dict[int, float] = {}
-        for k in order:
-            if dice[k] < 0.3:
-                break
+        for k in np.flatnonzero(dice >= 0.3):
             cid, form, _ = self.forms[k]
             if OWN_ENTRY & set(form) != special:
                 continue
