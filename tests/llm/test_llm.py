@@ -112,6 +112,22 @@ def test_canonical_map(spark):
         assert ("map_metadata", 40_000) not in got and ("map_metadata", 40_001) not in got and ("map_results", 8) not in got
 
 
+def test_canonical_map_in_blocks(spark):
+    """A list worked off in blocks gives what it gives at once: ties, longer names and near entries of other blocks too."""
+    listed = [*CATALOG, (11, "Crimson", None), (12, "Basalt Foundra", None), (13, "Ol", None), (14, "Öl", None), (15, "Étang", None), (16, "Etang", None), (17, "Twin", "Twins Peak"), (18, "AB", None), (19, "12", None)]
+    names = [n for n, _ in MEANT] + ["Crimson Meridian Crimson", "Basalt Foundr", "Basaltt Foundri", "ol", "öl", "Étang", "etang 2", "ÉTANG neo", "twins peak", "ab 12", "12 ab x", "Wandring Refinrey se", "Crimsn Meridin"]
+    md = metadata(spark, [(50_000 + i, "p/x", n, None, None) for i, n in enumerate(names)] + [(50_000, "p/x", names[0], None, None)])
+    rs = spark.createDataFrame([(7, None)], "result_id long, map_name string")
+    model = R.fit(R.metadata_values(md))
+    for entries, meant in ((CATALOG, MEANT), (listed, None)):
+        cat = spark.createDataFrame([(*c, 7) for c in entries], "catalog_id long, canonical_name string, alt_name string, row_id int")
+        want = sorted(tuple(x) for x in C.resolve(md, rs, cat, model).collect())
+        if meant:
+            assert [x[2] for x in want if x[1] >= 50_000][: len(meant)] == [c for _, c in meant]
+        for bound in (3, 7):
+            assert sorted(tuple(x) for x in C.resolve(md, rs, cat, model, max_forms=bound).collect()) == want
+
+
 def test_every_candidate_is_measured():
     """Forms that share more pairs with a name but cannot be meant by it take no places from the one that is."""
     others = [(100 + i, f"Crmson Meridan SE {c}", None) for i, c in enumerate("bcefghijklmopqst")]

@@ -13,7 +13,8 @@ Then
 
 Defined results: null and blank names give no row; ties between entries go to none (0); an empty list maps all to 0.
 The list is sent to the executors while it has at most ``MAX_FORMS`` names; a longer list is worked off in blocks of
-that size and the best result over the blocks is kept.
+that size. A block gives what it knows of a name (``Resolver.evidence``), and the rules above decide once over all blocks,
+so the result is the same for any size of block.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import encoding_repair, lookalikes
-from tilewright.session import widen
+from tilewright.session import cut, widen
 
 MAX_FORMS = 20_000
 APOSTROPHE = re.compile("['’‘`´]")
@@ -144,7 +145,33 @@ class Resolver:
         hit = self._mention(toks) or self._mention([fold(t) for t in toks])
         return hit or self._similar(toks)
 
+    def evidence(self, name: str) -> dict:
+        """What this block adds to the decision over all blocks: its longest mention as typed (``m1``) and without
+        accents (``m2``), and its two most similar entries; nothing that a mention of three letters already outdoes."""
+        toks = tokens(name)
+        out = {"name": name, "m1": None, "m2": None, "near": []}
+        if not toks or not self.forms:
+            return out
+        for m, t in (("m1", toks), ("m2", [fold(t) for t in toks])):
+            if (got := self._longest(t)) is not None:
+                n, at, own, cid, how = got
+                out[m] = {"n": -n, "at": at, "folded": not own, "one": cid is not None, "cid": cid, "how": how}
+                if n >= 3:
+                    return out
+        out["near"] = [{"score": -s, "cid": cid} for cid, s in self._ranked(toks)[:2]]
+        return out
+
     def _mention(self, toks: list[str]) -> tuple[int, str, float] | None:
+        got = self._longest(toks)
+        if got is None:
+            return None
+        cid, how = got[3:]
+        if cid is None:
+            return 0, "ambiguous", 0.0
+        return None if how is None else (cid, how, 1.0) if how == "mention" else (0, how, 0.0)
+
+    def _longest(self, toks: list[str]) -> tuple[int, int, bool, int | None, str | None] | None:
+        """(length, place, as written, catalog id or None for several, what it means) of the longest mention."""
         flat = "".join(toks)
         starts, at = {}, 0
         for k, t in enumerate(toks):
@@ -152,7 +179,7 @@ class Resolver:
             at += len(t)
         starts[at] = len(toks)
         spans = []
-        for end, (n, k, _) in self.auto.iter(flat):
+        for end, (n, k, own) in self.auto.iter(flat):
             a, b = end + 1 - n, end + 1
             if a not in starts:
                 continue
@@ -160,26 +187,34 @@ class Resolver:
                 nxt = min(x for x in starts if x > b)
                 if n < 3 or flat[b:nxt] not in TAGS - OWN_ENTRY:
                     continue
-            spans.append((n, -a, k))
+            spans.append((n, -a, k, own))
         if not spans:
             return None
-        n, a, k = max(spans)
+        n, a, k, own = max(spans)
         a = -a
         rest = [t for at, i in starts.items() if i < len(toks) and not a <= at < a + n for t in [toks[i]]]
-        if k < 0:
-            return 0, "ambiguous", 0.0
+        how = "mention"
         if OWN_ENTRY & set(rest):
-            return 0, "other entry", 0.0
-        if n < 3 and any(not t.isdigit() and t not in TAGS for t in rest):
-            return None
-        return self.forms[k][0], "mention", 1.0
+            how = "other entry"
+        elif n < 3 and any(not t.isdigit() and t not in TAGS for t in rest):
+            how = None
+        return n, a, own, self.forms[k][0] if k >= 0 else None, how
 
     def _similar(self, toks: list[str]) -> tuple[int, str, float]:
+        ranked = self._ranked(toks)
+        if not ranked or ranked[0][1] < LEAST:
+            return 0, "none", ranked[0][1] if ranked else 0.0
+        if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < AHEAD:
+            return 0, "ambiguous", ranked[0][1]
+        return ranked[0][0], "similar", ranked[0][1]
+
+    def _ranked(self, toks: list[str]) -> list[tuple[int, float]]:
+        """(catalog id, similarity), most similar first."""
         words = [t for t in toks if not t.isdigit()]
         core = [t for t in words if t not in TAGS] or words
         special = OWN_ENTRY & set(words)
         if not core or sum(map(len, core)) < 3:
-            return 0, "none", 0.0
+            return []
         count = np.zeros(len(self.forms))
         grams = self._grams(core)
         for g in grams:
@@ -193,12 +228,7 @@ class Resolver:
                 continue
             s = self.similarity(core, [w for w in form if w not in OWN_ENTRY] or form)
             best[cid] = max(best.get(cid, 0.0), s)
-        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
-        if not ranked or ranked[0][1] < LEAST:
-            return 0, "none", ranked[0][1] if ranked else 0.0
-        if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < AHEAD:
-            return 0, "ambiguous", ranked[0][1]
-        return ranked[0][0], "similar", ranked[0][1]
+        return sorted(best.items(), key=lambda x: (-x[1], x[0]))
 
     @staticmethod
     def similarity(typed: list[str], form: list[str]) -> float:
@@ -235,20 +265,53 @@ def resolve(metadata: DataFrame, results: DataFrame, catalog: DataFrame, model=N
     listed = catalog.select("catalog_id", "canonical_name", "alt_name").where("catalog_id IS NOT NULL")
     total = listed.count()
     blocks = max(1, -(-total // max_forms))
+    if blocks == 1:
+        block = spark.sparkContext.broadcast(sorted((r[0], r[1], r[2]) for r in listed.collect()))
+        got = widen(names).mapInArrow(lookalikes.clean_batches(shared, finisher(block)), "src_table string, row_id long, catalog_id long, how string, score double")
+        return got.dropDuplicates(["src_table", "row_id"])
+    clean = cut(widen(names).mapInArrow(lookalikes.clean_batches(shared), lookalikes.SCHEMA).select("src_table", "row_id", F.col("clean_name").alias("name")).dropDuplicates(["src_table", "row_id"]))
+    each = cut(clean.select("name").distinct())
     out = None
     for k in range(blocks):
-        # at most about max_forms rows reach the driver and the executors at a time
-        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("catalog_id"), F.lit(blocks)) == k)
+        # at most about max_forms rows reach the driver and the executors at a time; all rows of an entry are in one block
+        part = listed.where(F.pmod(F.xxhash64("catalog_id"), F.lit(blocks)) == k)
         block = spark.sparkContext.broadcast(sorted((r[0], r[1], r[2]) for r in part.collect()))
-        got = widen(names).mapInArrow(lookalikes.clean_batches(shared, finisher(block)), "src_table string, row_id long, catalog_id long, how string, score double")
+        got = widen(each).mapInArrow(witness(block), EVIDENCE_SQL)
         out = got if out is None else out.unionByName(got)
-    once = out.dropDuplicates(["src_table", "row_id"]) if blocks == 1 else _best(out)
-    return once
-
+    return clean.join(_decide(out), "name").select("src_table", "row_id", "catalog_id", "how", "score")
+
+
+_MENTION = [("n", pa.int32()), ("at", pa.int32()), ("folded", pa.bool_()), ("one", pa.bool_()), ("cid", pa.int64()), ("how", pa.string())]
+EVIDENCE = pa.schema([("name", pa.string()), ("m1", pa.struct(_MENTION)), ("m2", pa.struct(_MENTION)), ("near", pa.list_(pa.struct([("score", pa.float64()), ("cid", pa.int64())])))])
+_MENTION_SQL = "struct<n:int,at:int,folded:boolean,one:boolean,cid:bigint,how:string>"
+EVIDENCE_SQL = f"name string, m1 {_MENTION_SQL}, m2 {_MENTION_SQL}, near array<struct<score:double,cid:bigint>>"
+
+
+def _decide(evidence: DataFrame) -> DataFrame:
+    """(name, catalog_id, how, score) by the rules of ``Resolver``, from the evidence of all blocks."""
+    # lengths and scores are negative, so the least struct is the best: longest, first, as written, undecided before decided
+    best = [F.min(m).alias(m) for m in ("m1", "m2")]
+    last = [F.max(F.when(F.col(m).isNotNull(), F.struct(*((-F.col(f"{m}.{f}")).alias(f) for f in ("n", "at")), (~F.col(f"{m}.folded")).alias("own"), F.col(f"{m}.cid").alias("cid")))).alias(f"{m}_last") for m in ("m1", "m2")]
+    g = evidence.groupBy("name").agg(*best, *last, F.array_sort(F.array_distinct(F.flatten(F.collect_set("near")))).alias("near"))
+    how = []
+    for m in ("m1", "m2"):
+        several = ~F.col(f"{m}.one") | (F.col(f"{m}.cid") != F.col(f"{m}_last.cid"))  # the greatest id of the same mention
+        how.append(F.when(F.col(m).isNotNull(), F.when(several, "ambiguous").otherwise(F.col(f"{m}.how"))))
+    first, second = -F.get("near", F.lit(0))["score"], -F.get("near", F.lit(1))["score"]
+    alike = F.when(first.isNull() | (first < LEAST), "none").when(first - second < AHEAD, "ambiguous").otherwise("similar")
+    g = g.select("name", "m1", "m2", "near", how[0].alias("h1"), how[1].alias("h2"), alike.alias("h3"), F.coalesce(first, F.lit(0.0)).alias("s3"))
+    told = F.coalesce("h1", "h2")
+    cid = F.when(told == "mention", F.when(F.col("h1").isNotNull(), F.col("m1.cid")).otherwise(F.col("m2.cid"))).when(told.isNull() & (F.col("h3") == "similar"), F.get("near", F.lit(0))["cid"]).otherwise(0)
+    return g.select("name", cid.cast("long").alias("catalog_id"), F.coalesce("h1", "h2", "h3").alias("how"), F.when(told == "mention", 1.0).when(told.isNotNull(), 0.0).otherwise(F.col("s3")).alias("score"))
+
+
+def witness(block):
+    def run(batches):
+        r = Resolver(block.value)
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([r.evidence(n) for n in b.column(0).to_pylist()], schema=EVIDENCE)
 
-def _best(out: DataFrame) -> DataFrame:
-    w = Window.partitionBy("src_table", "row_id").orderBy(F.desc("score"), F.desc("catalog_id"))
-    return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return run
 
 
 def finisher(block):
