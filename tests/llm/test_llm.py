@@ -1,6 +1,5 @@
 """Operators for language-model training data: fixtures with dirt, brute force, round trips, held-out accuracy."""
 
-import datetime as dt
 import itertools
 import random
 
@@ -316,6 +315,37 @@ def test_languages(spark):
     assert len(few) == len(truth) and sum(truth[r["doc_id"]][0] == r["lang"] for r in few) >= 0.97 * len(truth)
 
 
+DATA = ["clock={};x={};y={}", '{{"kind":"expa","clock":{},"center_tile":{{"x":{},"y":{}}}}}', "choke({}) -> [{},{}]", "width: {} | height: {} | tiles: {}"]
+
+
+def test_data_lines_have_no_language(spark):
+    """Data lines in documents of every language: none is judged, and no text is mixed through them."""
+    rng = random.Random(16)
+    rows, data = [], set()
+    for i in range(1600):
+        lang = rng.choice(list(SENTENCES))
+        lines = [rng.choice(SENTENCES[lang]) + "." for _ in range(3)]
+        if i % 5 == 0:
+            at = rng.randrange(4)
+            lines.insert(at, rng.choice(DATA).format(*(rng.randrange(400) for _ in range(3))))
+            data.add((i, at))
+        rows.append((i, "\n".join(lines), lang if rng.random() < 0.9 else rng.choice(list(SENTENCES)), "s", 1))
+    rows.append((9000, "\n".join(DATA[0].format(k, k, k) for k in range(9)), None, None, 1))
+    df = spark.createDataFrame(rows, DOC)
+    got = {(r["doc_id"], r["line_no"]) for r in G.classify(df).collect()}
+    assert not got & data and not any(i == 9000 for i, _ in got)
+    assert len(got) >= 0.99 * (4 * 1600)  # three lines and the text
+    assert not G.found(df).where("line_no >= 0").count()
+
+
+def test_joints():
+    points = G.code_points(["clock=41;x=7\nthe ramp, then\n", "ab"])
+    h, where, runs = G.joints(points)
+    assert runs.tolist() == [9, 12, 0, 0] and sorted(set(where.tolist())) == [0, 1]
+    dense = G.joints(points, dense=True)
+    assert set(dense[1].tolist()) == {0} and set(dense[0].tolist()) == set(h[where == 0].tolist())
+
+
 def test_filters_hold_what_they_were_given():
     import numpy as np
 
@@ -344,4 +374,3 @@ def test_queries_on_given_tables(spark, data):
         assert df.columns == columns.get(name, df.columns)
         if name in columns and name != "p7_ids":
             assert len(rows) == len({tuple(r) for r in rows}) > 0
-    assert dt.datetime(2024, 1, 1)

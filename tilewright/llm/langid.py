@@ -9,6 +9,14 @@ chosen by hash): first by the labels as delivered, wrong ones among them, then a
 the first filters, which removes wrong labels and mixed texts from the training. An n-gram belongs to a language if its
 rate there is a fair share of its highest rate anywhere. Every text is then judged, whole.
 
+A twelfth bit stands for "none". Its n-grams are runs of three characters, at least one of them no letter or space (digits
+are all one digit), that are about equally frequent in the labelled documents of many languages: the joints of data lines,
+whatever words they use. They are learnt with the first filters, by documents, and kept through the second fit; a line
+mostly made of them has no language.
+
+The counts become filters on the executors: rates, masks and slots are plain expressions, and only the slots, of which
+there are ``SLOTS``, reach the driver.
+
 Defined results: null, empty and letterless texts, and lines of names, data or markup, have no language and give no
 row; confidence is the lead of the best language over the next as a share of the best.
 """
@@ -24,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.session import widen
+from tilewright.session import cut, widen
 
 LANGUAGES = ["en", "ko", "de", "ru", "es", "fr", "pl", "pt", "zh", "ja", "uk"]
 # Other spellings of the languages' names and codes.
@@ -40,6 +48,9 @@ SLOTS = 1 << 20
 HASHES = 4
 GRAMS = (2, 3, 4, 5)  # pairs only of letters without case and words, as Chinese has them
 RATE = (0.20, 0.20)  # share of the highest rate that an n-gram needs, by labels and by decided lines
+NONE = len(LANGUAGES)  # the bit of what is no language
+EVEN = 0.3  # an n-gram of no language has this share of its highest document rate in ...
+MOST = 0.5  # ... at least this share of the languages, and makes up this share of a line without language
 LEAST_LETTERS = 6  # a line with fewer letters has no language of its own
 LEAST_SHARE = 0.45  # of its n-grams must be the language's
 LEAST_LEAD = 0.05  # over the next language
@@ -70,6 +81,11 @@ def letter_table() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
+@cache
+def space_table() -> np.ndarray:
+    return np.array([chr(i).isspace() for i in range(0x110000)])
+
+
 @cache
 def accents() -> dict[int, str]:
     out = {0x142: "l", 0x111: "d", 0xF8: "o"}
@@ -102,20 +118,21 @@ def hashed(points: np.ndarray):
     keep = letter | np.concatenate((letter[1:], [False])) | np.concatenate(([False], letter[:-1]))
     p, l, line = p[keep], letter[keep], line[keep]
     out, where = [], []
-    for n in GRAMS:
+    run, inner = p.copy(), np.ones(len(p), dtype=bool)  # the hash of the run so far; whether all within it are letters
+    for n in range(2, max(GRAMS) + 1):
         if len(p) < n:
+            break
+        run = run[:-1] * np.uint64(0x100000001B3)
+        run += p[n - 1 :]
+        inner = inner[:-1] & l[n - 2 : n - 2 + len(run)] if n > 2 else inner[:-1]
+        if n not in GRAMS:
             continue
-        h = np.zeros(len(p) - n + 1, dtype=np.uint64)
-        ok = line[: len(h)] == line[n - 1 :]
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) + p[k : k + len(h)]
-            if 0 < k < n - 1:
-                ok &= l[k : k + len(h)]
+        ok = inner & (line[: len(run)] == line[n - 1 :])
         if n == 2:  # of two, both letters
-            ok &= l[: len(h)] & l[1 : 1 + len(h)] & (p[: len(h)] >= 0x2E80)
+            ok &= l[:-1] & l[1:] & (p[:-1] >= 0x2E80)
         else:
-            ok &= l[: len(h)] | l[n - 1 :]
-        h = h[ok] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+            ok &= l[: len(run)] | l[n - 1 :]
+        h = run[ok] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         out.append(h ^ (h >> np.uint64(32)))
@@ -125,12 +142,43 @@ def hashed(points: np.ndarray):
     return np.concatenate(out), np.concatenate(where), letters, text_of
 
 
+def joints(points: np.ndarray, dense: bool = False):
+    """(hashes of runs of three characters with one that is no letter or space, line of each, number of runs by line).
+
+    ``dense``: only of lines that may be mostly such runs. A character is in three runs, so such a line has at least
+    MOST / 3 as many odd characters as runs; others are passed over, with no runs reported.
+    """
+    newline = (points == 10) | (points == 0)
+    line = np.concatenate(([0], np.cumsum(newline)[:-1]))
+    lines = int(newline.sum())
+    odd = ~letter_table()[points] & ~space_table()[points] & ~newline
+    size = np.bincount(line[~newline], minlength=lines)
+    runs = np.maximum(size - 2, 0)
+    if dense:
+        keep = (3 * np.bincount(line[odd], minlength=lines) >= MOST * runs)[line]
+        points, line, odd = points[keep], line[keep], odd[keep]
+    if len(points) < 3:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), runs
+    # one digit for all, and a number of any length is one digit
+    digit = (points >= 48) & (points <= 57)
+    again = np.concatenate(([False], digit[1:] & digit[:-1]))
+    points, line, odd = np.where(digit, 48, points)[~again], line[~again], odd[~again]
+    end = (points == 10) | (points == 0)
+    runs = np.maximum(np.bincount(line[~end], minlength=lines) - 2, 0)
+    p = points.astype(np.uint64)
+    ok = ~(end[:-2] | end[1:-1] | end[2:]) & (odd[:-2] | odd[1:-1] | odd[2:])
+    h = (p[:-2] << np.uint64(42) | p[1:-1] << np.uint64(21) | p[2:])[ok] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32)), line[:-2][ok], runs
+
+
 class Filters:
-    """Bit-sliced Bloom filters: slot -> bitmask of languages."""
+    """Bit-sliced Bloom filters: slot -> bitmask of languages, and of none."""
 
     def __init__(self, slots: np.ndarray):
         self.slots = slots
-        self.false = np.array([float((slots >> np.uint16(k) & 1).mean()) ** HASHES for k in range(len(LANGUAGES))])
+        self.false = np.array([float((slots >> np.uint16(k) & 1).mean()) ** HASHES for k in range(NONE + 1)])
 
     @staticmethod
     def places(h: np.ndarray):
@@ -147,14 +195,14 @@ class Filters:
         return cls(slots)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), (1 << len(LANGUAGES)) - 1, dtype=np.uint16)
+        out = np.full(len(h), (1 << NONE + 1) - 1, dtype=np.uint16)
         for at in self.places(h):
             out &= self.slots[at]
         return out
 
-    def lines(self, points: np.ndarray):
+    def lines(self, points: np.ndarray, grams=None):
         """Per line: language number or -1, lead, confidence, letters, text number, share of each language."""
-        h, where, letters, text_of = hashed(points)
+        h, where, letters, text_of = grams or hashed(points)
         n = np.bincount(where, minlength=len(letters)).astype(float)
         m = self.masks(h)
         share = np.zeros((len(letters), len(LANGUAGES)))
@@ -163,12 +211,19 @@ class Filters:
             share[:, k] = np.maximum(0, hits / np.maximum(n, 1) - self.false[k]) / (1 - self.false[k])
         order = np.sort(share, axis=1)
         best, lead = order[:, -1], order[:, -1] - order[:, -2]
-        lang = np.where((letters >= LEAST_LETTERS) & (best >= LEAST_SHARE) & (lead >= LEAST_LEAD), share.argmax(axis=1), -1)
+        lang = np.where((letters >= LEAST_LETTERS) & (best >= LEAST_SHARE) & (lead >= LEAST_LEAD) & ~self.none(points), share.argmax(axis=1), -1)
         return lang, lead, lead / np.maximum(best, 1e-9), letters, text_of, share
 
+    def none(self, points: np.ndarray) -> np.ndarray:
+        """Whether each line is mostly made of what is no language."""
+        h, where, runs = joints(points, dense=True)
+        hits = np.bincount(where[(self.masks(h) >> np.uint16(NONE)) & 1 != 0], minlength=len(runs))
+        share = np.maximum(0, hits / np.maximum(runs, 1) - self.false[NONE]) / (1 - self.false[NONE])
+        return share >= MOST
+
 
-def _counts(sample: DataFrame, filters=None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Language -> (hashes, counts) of the sample, by label or by decided line."""
+def _counts(sample: DataFrame, filters=None) -> DataFrame:
+    """(lang, h, n) of the sample: n-grams by label or by decided line; by label also the joints, by documents (lang + 32)."""
 
     def run(batches):
         f = Filters(filters.value) if filters else None
@@ -176,51 +231,82 @@ def _counts(sample: DataFrame, filters=None) -> dict[int, tuple[np.ndarray, np.n
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 texts, labels = part.column(0).to_pylist(), part.column(1).to_pylist()
+                label = np.array([LANGUAGES.index(x) for x in labels])
                 got: dict[int, list] = {}
-                for shape in (texts, [t.casefold().translate(accents()) for t in texts]):  # as written, and with lost accents
-                    points = code_points(shape)
-                    h, where, _, text_of = hashed(points)
-                    k = f.lines(points)[0][where] if f else np.array([LANGUAGES.index(x) for x in labels])[text_of[where]]
+                for accented in (True, False):  # as written, and with lost accents
+                    points = code_points(texts if accented else [t.casefold().translate(accents()) for t in texts])
+                    grams = h, where, _, text_of = hashed(points)
+                    k = f.lines(points, grams)[0][where] if f else label[text_of[where]]
                     for lang in np.unique(k):
                         if lang >= 0:
                             got.setdefault(int(lang), []).append(h[k == lang])
+                    if accented and not f:
+                        h, where, _ = joints(points)
+                        order = np.lexsort((h, text_of[where]))
+                        h, of = h[order], text_of[where][order]
+                        once = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))) if len(h) else np.zeros(0, dtype=bool)
+                        h, k = h[once], label[of[once]]
+                        for lang in np.unique(k):
+                            got[int(lang) + 32] = [h[k == lang]]
                 for lang, hs in got.items():
                     u, n = np.unique(np.concatenate(hs), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(u), lang, np.int32)), "h": pa.array(u.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    rows = widen(sample.select("text", "label")).mapInArrow(run, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where("n >= 3")
-    t = rows.toArrow()  # bounded by the sample
-    lang, h, n = (t.column(c).to_numpy() for c in ("lang", "h", "n"))
-    return {int(k): (h[lang == k].view(np.uint64), n[lang == k].astype(float)) for k in np.unique(lang)}
+    return widen(sample.select("text", "label")).mapInArrow(run, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where("n >= 3")
+
+
+def _rates(counts: DataFrame, total: dict[int, int]) -> DataFrame:
+    """(h, rates, top): the rate of an n-gram in each language that has it, and the highest."""
+    of = F.element_at(F.create_map(*(F.lit(x) for kv in total.items() for x in kv)), F.col("lang"))
+    rates = counts.select("h", F.struct("lang", (F.col("n") / of).alias("rate")).alias("r")).groupBy("h").agg(F.collect_list("r").alias("rates"), F.max("r.rate").alias("top"))
+    return rates.where("top is not null")
+
+
+def _masks(counts: DataFrame, total: dict[int, int], share: float) -> DataFrame:
+    """(h, mask): the languages of an n-gram are those whose rate is a fair share of its highest rate."""
+    near = F.filter("rates", lambda r: r["rate"] >= share * F.col("top"))
+    return _rates(counts, total).select("h", F.aggregate(near, F.lit(0), lambda m, r: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), r["lang"]))).alias("mask"))
+
+
+def _even(counts: DataFrame, documents: dict[int, int]) -> DataFrame:
+    """(h, mask): joints about equally frequent in the documents of many languages, for the bit of none."""
+    rates = _rates(counts.withColumn("lang", F.col("lang") - 32), documents)
+    near = F.size(F.filter("rates", lambda r: r["rate"] >= EVEN * F.col("top")))
+    return rates.where(near >= max(2.0, MOST * len(documents))).select("h", F.lit(1 << NONE).alias("mask"))
 
 
-def _select(counts, share: float) -> Filters:
-    top: dict[int, float] = {}
-    total = {k: max(1.0, n.sum()) for k, (_, n) in counts.items()}
-    allh = np.concatenate([h for h, _ in counts.values()]) if counts else np.zeros(0, np.uint64)
-    rate = np.concatenate([n / total[k] for k, (_, n) in counts.items()]) if counts else np.zeros(0)
-    u, inverse = np.unique(allh, return_inverse=True)
-    high = np.zeros(len(u))
-    np.maximum.at(high, inverse, rate)
-    out, at = {}, 0
-    for k, (h, _) in counts.items():
-        here = slice(at, at + len(h))
-        out[k] = h[rate[here] >= share * high[inverse[here]]]
-        at += len(h)
-    return Filters.build(out)
+def _slots(masks: DataFrame) -> np.ndarray:
+    """The bit-sliced filters: every n-gram sets its mask at its places; no more than ``SLOTS`` rows leave the executors."""
+    a, b = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(1)
+    places = F.array(*((a + b * k).bitwiseAND(SLOTS - 1) for k in range(HASHES)))
+    t = masks.select(F.explode(places).alias("at"), "mask").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots = np.zeros(SLOTS, dtype=np.uint16)
+    slots[t.column("at").to_numpy()] = t.column("mask").to_numpy().astype(np.uint16)
+    return slots
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Filters:
     labelled = documents.select("doc_id", "text", label_column(F.col("lang")).alias("label")).where(
         F.col("label").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)
     )
-    n = labelled.count()
+    count = lambda d: {LANGUAGES.index(r["label"]): r["n"] for r in d.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    by_label = count(labelled)
+    n = sum(by_label.values())
     if n > sample:
         span = 1 << 31
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * sample / n))
-    first = _select(_counts(labelled), RATE[0])
-    shared = documents.sparkSession.sparkContext.broadcast(first.slots)
-    return _select(_counts(labelled, shared), RATE[1])
+        by_label = count(labelled)
+    if not by_label:
+        return Filters(np.zeros(SLOTS, dtype=np.uint16))
+
+    def slots(counts, share):
+        total = {r["lang"]: r["n"] for r in counts.where("lang < 32").groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
+        return _slots(_masks(counts.where("lang < 32"), total, share)) if total else np.zeros(SLOTS, dtype=np.uint16)
+
+    counts = cut(_counts(labelled))
+    none = _slots(_even(counts.where("lang >= 32"), by_label))
+    shared = documents.sparkSession.sparkContext.broadcast(slots(counts, RATE[0]) | none)
+    return Filters(slots(cut(_counts(labelled, shared)), RATE[1]) | none)
 
 
 LINE = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_langs", pa.int32()), ("label", pa.string())])
