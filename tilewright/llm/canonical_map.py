@@ -260,16 +260,16 @@ def resolve(metadata: DataFrame, results: DataFrame, catalog: DataFrame, model=N
     """(src_table, row_id, catalog_id, how, score), one row per name that is neither null nor blank."""
     spark = metadata.sparkSession
     model = model or encoding_repair.fit(encoding_repair.metadata_values(metadata))
-    shared = spark.sparkContext.broadcast(model)
-    names = lookalikes.stack(metadata, results).where(F.col("map_name").isNotNull() & (F.trim(F.regexp_replace("map_name", r"[\s\p{Z}]+", "")) != ""))
+    shared = model.share(spark)
+    names = lookalikes.typed_names(metadata, results, model).where(F.col("map_name").isNotNull() & (F.trim(F.regexp_replace("map_name", r"[\s\p{Z}]+", "")) != ""))
     listed = catalog.select("catalog_id", "canonical_name", "alt_name").where("catalog_id IS NOT NULL")
     total = listed.count()
     blocks = max(1, -(-total // max_forms))
     if blocks == 1:
         block = spark.sparkContext.broadcast(sorted((r[0], r[1], r[2]) for r in listed.collect()))
-        got = widen(names).mapInArrow(lookalikes.clean_batches(shared, finisher(block)), "src_table string, row_id long, catalog_id long, how string, score double")
+        got = names.mapInArrow(lookalikes.clean_batches(shared, finisher(block)), "src_table string, row_id long, catalog_id long, how string, score double")
         return got.dropDuplicates(["src_table", "row_id"])
-    clean = cut(widen(names).mapInArrow(lookalikes.clean_batches(shared), lookalikes.SCHEMA).select("src_table", "row_id", F.col("clean_name").alias("name")).dropDuplicates(["src_table", "row_id"]))
+    clean = cut(names.mapInArrow(lookalikes.clean_batches(shared), lookalikes.SCHEMA).select("src_table", "row_id", F.col("clean_name").alias("name")).dropDuplicates(["src_table", "row_id"]))
     each = cut(clean.select("name").distinct())
     out = None
     for k in range(blocks):

@@ -5,12 +5,15 @@ Model. A field value was written in encoding *w*, read in encoding *r*; the pair
 expectation-maximisation estimates these priors from the evidence of all records of the pool:
 
 * the language model: character trigrams of every value of the corpus, counted over all rows (garbled rows are the
-  minority and scatter over the chains, so the clean spelling of a word always outweighs a garbled one);
+  minority and scatter over the chains, so the clean spelling of a word always outweighs a garbled one). The counts are
+  kept in two rows of hashed slots of fixed size, of which the smaller counts: no n-gram is left out, however many
+  there are, and what a shared slot adds is far below the discount of rare contexts;
 * the evidence of a value: for each chain that can be undone, the log-likelihood ratio of the undone text to the text
   as it stands. A value may be garbled in some words only, so each word either went through the chain or not;
-* E step: posterior of each chain; M step: the pool's prior is the mean posterior. Evidence is summed up as a
-  histogram of rounded patterns (two chains, seven steps each), so EM runs over a few thousand patterns however many
-  rows there are.
+* E step: posterior of each chain, on the executors, over the whole evidence of the distinct values; M step: the pool's
+  prior is the mean posterior, drawn towards the prior of its field by ``SHRINK`` uploads' worth, so that sources with
+  few rows lean on the others. Pools stay a table; only the priors of the fields reach the driver in each round. Rounds
+  end when no more than ``MOVES`` of the rows' weight moves between garbled and not, over all pools.
 
 Defined results: null, empty and blank texts are identity; a text with U+FFFD is always a case (bytes were lost) and is
 restored as far as it survives; colour codes (below U+0020) are ignored for the decision and dropped from the
@@ -24,11 +27,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.session import collect_bounded, cut, respread, widen
+from tilewright.session import collect_at_most, collect_bounded, cut, widen
 
 IDENTITY = "identity"
 # Read encoding -> encodings the text may really have been written in.
@@ -57,8 +62,13 @@ TWICE = "utf-8>western twice"
 PAIRS = [(f"{w}>{r}", w, r) for r, ws in CHAINS.items() for w in ws.split()]
 RANK = {c: i for i, c in enumerate([IDENTITY, *(name for name, *_ in PAIRS), TWICE])}  # order among equals
 MULTIBYTE = {"cp949", "gbk", "big5", "cp932", "euc_jp"}
-TRIGRAMS = 200_000  # most frequent character n-grams kept by the language model
-SOURCES = 256  # pools with a prior of their own; rarer sources share one
+SLOTS = 1 << 20  # slots of n-gram counts in each of two rows
+POOLS = 2_000  # pools whose priors are broadcast; those of more are joined to the rows
+FIELD_NAMES = 64  # bound on the fields
+ROUNDS = 12  # of EM, at most
+MOVES = 1e-4
+SHRINK = 6.0  # uploads that the prior of a pool's field is worth
+ROWS = 25_000  # distinct values to a task
 SPLIT = re.compile(r"""([\x00-\x20\-.,():'"!*#/_|\[\]]+)""")
 SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 CONTROL = re.compile(r"[\x00-\x1f]")
@@ -132,12 +142,29 @@ def undo_lossy(text: str, written: str, read: str) -> str | None:
     return None if out == text else out
 
 
+class Counts:
+    """Hashed n-gram counts: the smaller of two slots. ``get`` is that of a dict, with its own bounded memory."""
+
+    def __init__(self, slots: np.ndarray, total: int):
+        self.slots, self.total, self.seen = slots, total, {}
+
+    def get(self, gram: str, default: int = 0) -> int:
+        got = self.seen.get(gram)
+        if got is None:
+            h = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"), 42)  # as Spark's xxhash64
+            got = min(int(self.slots[h & (SLOTS - 1)]), int(self.slots[SLOTS + (h >> 32 & (SLOTS - 1))]))
+            if len(self.seen) > 300_000:
+                self.seen.clear()
+            self.seen[gram] = got
+        return got
+
+
 class LanguageModel:
     """Interpolated character trigrams over case-folded words."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.n = {k: v for k, v in counts.items()}
-        self.total = max(1, sum(v for k, v in counts.items() if len(k) == 1))
+    def __init__(self, counts: Counts):
+        self.n = counts
+        self.total = max(1, counts.total)
         self.rare = 2 + RARE * self.total
         self.cache: dict[str, float] = {}
 
@@ -180,8 +207,8 @@ def ngrams(text: str, first: bool = False) -> Iterator[str]:
 class Repairer:
     """Evidence, posterior and repair of single values; kept per Python worker."""
 
-    def __init__(self, counts: dict[str, int], priors: dict[tuple[str, str], dict[str, float]] | None = None):
-        self.lm, self.priors = LanguageModel(counts), priors or {}
+    def __init__(self, counts: tuple[np.ndarray, int], priors: dict[tuple[str, str], dict[str, float]] | None = None):
+        self.lm, self.priors = LanguageModel(Counts(*counts)), priors or {}
         self.words: dict[str, dict[str, tuple[float, str]]] = {}
         self.values: dict[tuple, tuple] = {}
 
@@ -235,8 +262,15 @@ class Repairer:
                         out[name] = (g, t)
         return out
 
-    def posterior(self, pool: tuple[str, str], text: str) -> tuple[str, float, str]:
-        """The most probable chain, the probability that the text is garbled, the restored text."""
+    def posterior(self, pool: tuple[str, str], text: str, prior: list[float] | None = None) -> tuple[str, float, str]:
+        """The most probable chain, the probability that the text is garbled, the restored text.
+
+        ``prior``: the pool's, where it is not among those this object was given.
+        """
+        if prior is not None and pool not in self.priors:
+            if len(self.priors) > 2 * POOLS:
+                self.priors = {k: v for k, v in self.priors.items() if k[0] == "*"}
+            self.priors[pool] = dict(zip(CODES, prior))
         key = (pool, text)
         got = self.values.get(key)
         if got is None:
@@ -283,102 +317,149 @@ def source_of(path):
     return F.coalesce(F.lower(F.split(F.regexp_replace(path, r"\\", "/"), "/").getItem(0)), F.lit(""))
 
 
-def _pattern(found: dict[str, tuple[float, str]]) -> str:
-    """The two best chains with their gains in steps of 4 nats, at most 20: so few values that their histogram is small."""
-    top = sorted(((c, g) for c, (g, _) in found.items() if g > -3), key=lambda x: (-x[1], RANK[x[0]]))[:2]
-    return ";".join(f"{c}={4 * max(-1, min(5, round(g / 4)))}" for c, g in top)
+CODES = list(RANK)  # a chain's place in evidence and priors
+
+
+def ngram_counts(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """``grams(gram, n)`` as hashed slots, and the number of characters; at most 2 * SLOTS + 1 rows leave the executors."""
+    h = F.xxhash64("gram")
+    places = F.array(h.bitwiseAND(SLOTS - 1), F.shiftrightunsigned(h, 32).bitwiseAND(SLOTS - 1) + SLOTS, F.when(F.length("gram") == 1, -1))
+    t = grams.select(F.explode(places).alias("at"), "n").where("at is not null").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = t.column("at").to_numpy(), t.column("n").to_numpy()
+    slots = np.zeros(2 * SLOTS, dtype=np.int64)
+    slots[at[at >= 0]] = n[at >= 0]
+    return slots, int(n[at < 0].sum())
+
+
+class Model:
+    """What ``fit`` learnt: n-gram counts, priors of the fields, and the table of pools (source, field, prior).
+
+    ``priors`` has the fields' and, if there are at most ``POOLS``, the pools' priors, to be broadcast; otherwise ``beside``
+    joins each row's prior to it.
+    """
+
+    def __init__(self, counts, fields: dict[str, list[float]], pools: DataFrame):
+        self.counts, self.pools = counts, pools
+        rows = collect_at_most(pools, POOLS)
+        self.few = rows is not None
+        self.priors = {("*", f): dict(zip(CODES, p)) for f, p in fields.items()} | {(r["source"], r["field"]): dict(zip(CODES, r["prior"])) for r in rows or []}
+
+    def share(self, spark):
+        return spark.sparkContext.broadcast((self.counts, self.priors))
+
+    def beside(self, df: DataFrame, source: str, fields: tuple[str, ...]) -> DataFrame:
+        """``df`` with the prior of its row's pool for each field as ``prior_<field>``; null where it is broadcast anyway."""
+        for f in fields:
+            if self.few:
+                df = df.withColumn(f"prior_{f}", F.lit(None).cast("array<double>"))
+            else:
+                pools = self.pools.where(F.col("field") == f).select(F.col("source").alias("pool_source"), F.col("prior").alias(f"prior_{f}"))
+                df = _salted(df, pools, F.col(source) == F.col("pool_source"), "left").drop("pool_source")
+        return df
+
+
+SALT = 16  # a pool with many rows is met by so many copies of its prior
 
 
-def fit(values: DataFrame, rounds: int = 30) -> tuple[dict[str, int], dict[tuple[str, str], dict[str, float]]]:
+def _salted(rows: DataFrame, pools: DataFrame, on, how: str) -> DataFrame:
+    """An equality join in which no pool's rows all meet in one task."""
+    r = rows.withColumn("salt_l", F.floor(F.rand(7) * SALT).cast("int"))
+    p = pools.withColumn("salt_r", F.explode(F.array(*map(F.lit, range(SALT)))))
+    return r.join(p, on & (F.col("salt_l") == F.col("salt_r")), how).drop("salt_l", "salt_r")
+
+
+def fit(values: DataFrame, rounds: int = ROUNDS) -> Model:
     """Language model and EM priors from ``values(source, field, text)``, over all rows.
 
     One aggregation gives the distinct values with their counts (partial sums on the map side, so a value on a third of
-    all rows is no hot key). The n-gram table and the evidence histogram that reach the driver have proven bounds.
+    all rows is no hot key).
     """
-    seen = cut(respread(
+    seen = cut(
         values.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
         .groupBy("source", "field", "text")
         .agg(F.count("*").alias("n"))
-    ))
-
-    def grams(texts) -> dict[str, int]:
-        # The most frequent ones by steps of their counts' logarithm: a histogram of a few hundred rows tells how far down
-        # the table may be sent whole.
-        step = F.floor(F.log2("n") * 8)
-        every = cut(texts.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("step", step))
-        room, least = TRIGRAMS, None
-        for k, n in sorted(((r["step"], r["count"]) for r in every.groupBy("step").count().collect()), reverse=True):
-            room -= n
-            if room < 0:
-                break
-            least = k
-        return {} if least is None else {r["gram"]: r["n"] for r in collect_bounded(every.where(F.col("step") >= least), TRIGRAMS, "n-grams")}
+    )
+    tasks = max(values.sparkSession.sparkContext.defaultParallelism, -(-seen.count() // ROWS))
+    seen = cut(seen.repartition(tasks))  # few bytes, but much work: the adaptive planner would make one task of them
 
     def count(model):
         def run(batches):
             rep = Repairer(model.value) if model else None
+            total: dict[str, int] = {}
             for b in batches:
-                total: dict[str, int] = {}
                 for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if rep and not text.isascii():
                         text = rep.posterior(("*", ""), text)[2].replace("\ufffd", "")
                     for g in ngrams(text, not rep):
                         total[g] = total.get(g, 0) + n
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+                if len(total) > 500_000:
+                    yield _gram_batch(total)
+                    total = {}
+            yield _gram_batch(total)
 
         return seen.select("text", "n").mapInArrow(run, "gram string, n long")
 
     send = values.sparkSession.sparkContext.broadcast
-    counts = grams(count(None))  # first model: words that look like words
-    counts = grams(count(send(counts)))  # second model: every value, garbled ones as restored by the first
-    named = [r["source"] for r in seen.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(SOURCES).collect()]
+    counts = ngram_counts(count(None))  # first model: words that look like words
+    counts = ngram_counts(count(send(counts)))  # second model: every value, garbled ones as restored by the first
     model = send(counts)
 
     def weigh(batches):
         rep = Repairer(model.value)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({
-                "source": b.column(0), "field": b.column(1), "n": b.column(3),
-                "pattern": pa.array([_pattern(rep.evidence(t)) for t in b.column(2).to_pylist()], pa.string()),
-            })
-
-    histogram = (
-        seen.select(F.when(F.col("source").isin(named), F.col("source")).otherwise("*").alias("source"), "field", "text", "n")
-        .mapInArrow(weigh, "source string, field string, n long, pattern string")
-        .groupBy("source", "field", "pattern").agg(F.sum("n").alias("n"))
-    )
-    return counts, maximise([tuple(r) for r in histogram.toLocalIterator()], rounds)
-
-
-def maximise(histogram, rounds: int = 30) -> dict[tuple[str, str], dict[str, float]]:
-    """EM over (source, field, pattern, count): the prior of each chain in each pool."""
-    pools: dict[tuple[str, str], list] = {}
-    for source, field, pattern, n in histogram:
-        found = [(c, float(g)) for c, g in (x.rsplit("=", 1) for x in pattern.split(";") if x)]
-        pools.setdefault((source, field), []).append((found, n))
-        pools.setdefault(("*", field), [])
-    for (source, field), rows in list(pools.items()):
-        if source != "*":
-            pools[("*", field)] += rows  # the shared pool is the prior of rare sources
-    out = {}
-    names = [name for name, *_ in PAIRS] + [TWICE]
-    for pool, rows in pools.items():
-        total = sum(n for _, n in rows)
-        prior = {IDENTITY: 0.9} | {c: 0.1 / len(names) for c in names}
-        for _ in range(rounds):
-            mass = {c: 0.05 for c in names} | {IDENTITY: 1.0}
-            for found, n in rows:
-                w = [(IDENTITY, prior[IDENTITY]), *((c, prior[c] * math.exp(g)) for c, g in found)]
-                z = sum(x for _, x in w)
-                for c, x in w:
-                    mass[c] += n * x / z
-            z = sum(mass.values())
-            new = {c: m / z for c, m in mass.items()}
-            moved, prior = max(abs(new[c] - prior[c]) for c in new), new
-            if moved < 1e-6 or not total:
-                break
-        out[pool] = prior
-    return out
+            found = [sorted((RANK[c], min(g, 600.0)) for c, (g, _) in rep.evidence(t).items()) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(3), pa.array([[{"c": c, "g": g} for c, g in f] for f in found], EVIDENCE)], names=["source", "field", "n", "ev"]
+            )
+
+    evidence = seen.select("source", "field", "text", "n").mapInArrow(weigh, "source string, field string, n long, ev array<struct<c:int,g:double>>")
+    fields, pools = maximise(evidence, rounds)
+    return Model(counts, fields, pools)
+
+
+EVIDENCE = pa.list_(pa.struct([("c", pa.int32()), ("g", pa.float64())]))
+
+
+def _gram_batch(total: dict[str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"gram": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
+
+def maximise(evidence: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, list[float]], DataFrame]:
+    """EM over ``evidence(source, field, n, ev)``: the prior of each field, and the table of pools (source, field, prior).
+
+    Values without evidence, or with the same, are one row of a pool. Each round is one pass: posteriors beside the pool's
+    prior, summed up by pool and chain; the code -1 carries the weight that identity gained.
+    """
+    ev = cut(evidence.groupBy("source", "field", "ev").agg(F.sum("n").cast("double").alias("n")))
+    by_field = collect_bounded(ev.groupBy("field").agg(F.sum("n").alias("n"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("pools")), FIELD_NAMES, "fields")
+    rows, few = sum(r["n"] for r in by_field), sum(r["pools"] for r in by_field) <= POOLS
+    start = [0.9] + [0.1 / (len(CODES) - 1)] * (len(CODES) - 1)
+    fields = {r["field"]: start for r in by_field}
+    pools = ev.select("source", "field").distinct().withColumn("prior", F.array(*map(F.lit, start)))
+    last = None
+    for _ in range(rounds if by_field else 0):
+        same = pools.select(F.col("source").alias("s"), F.col("field").alias("f"), "prior")
+        on = F.col("source").eqNullSafe(F.col("s")) & F.col("field").eqNullSafe(F.col("f"))
+        j = ev.join(F.broadcast(same), on) if few else _salted(ev, same, on, "inner")
+        weight = F.transform("ev", lambda e: F.struct(e["c"].alias("c"), (F.get("prior", e["c"]) * F.exp(e["g"])).alias("w")))
+        j = j.select("source", "field", "n", F.concat(F.array(F.struct(F.lit(0).alias("c"), F.get("prior", F.lit(0)).alias("w"))), weight).alias("ws"))
+        j = j.withColumn("z", F.aggregate("ws", F.lit(0.0), lambda a, w: a + w["w"]))
+        j = j.withColumn("moved", F.get("ws", F.lit(0))["w"] * (1 / F.col("z") - 1))
+        each = F.concat(F.array(F.struct(F.lit(-1).alias("c"), F.col("moved").alias("w"))), F.transform("ws", lambda w: F.struct(w["c"].alias("c"), (w["w"] / F.col("z")).alias("w"))))
+        mass = cut(j.select("source", "field", "n", F.explode(each).alias("e")).groupBy("source", "field", "e.c").agg(F.sum(F.col("n") * F.col("e.w")).alias("m")))
+        sums = {(r["field"], r["c"]): r["m"] for r in mass.groupBy("field", "c").agg(F.sum(F.when(F.col("c") < 0, F.abs("m")).otherwise(F.col("m"))).alias("m")).collect()}  # fields x chains
+        for f in fields:
+            own = [sums.get((f, c), 0.0) + (0.05 if c else 1.0) for c in range(len(CODES))]
+            fields[f] = [x / sum(own) for x in own]
+        towards = F.create_map(*(x for f, p in fields.items() for x in (F.lit(f), F.array(*map(F.lit, p)))))
+        pools = mass.where("c >= 0").groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("ms"), F.sum("m").alias("all"))
+        drawn = F.transform(F.element_at(towards, F.col("field")), lambda p, c: (F.coalesce(F.try_element_at("ms", c), F.lit(0.0)) + SHRINK * p) / (F.col("all") + SHRINK))
+        pools = pools.select("source", "field", drawn.alias("prior"))
+        moved = sum(m for (_, c), m in sums.items() if c == -1)
+        if last is not None and abs(moved - last) < MOVES * rows:  # what small pools are drawn back by stays alike
+            break
+        last = moved
+    return fields, pools
 
 
 FIELDS = ("map_name", "map_data_name")
@@ -392,31 +473,54 @@ def metadata_values(metadata: DataFrame) -> DataFrame:
     ).select("source", "v.field", "v.text")
 
 
-def repair(metadata: DataFrame, model=None) -> DataFrame:
+def judge(rep: Repairer, field: str, sources: pa.Array, texts: pa.Array, priors: pa.Array):
+    """((chain, garbled, restored) of each distinct (source, text) that may be garbled, place of each row in them or -1).
+
+    ASCII texts and nulls are -1; rows without a source too.
+    """
+    s, t = sources.dictionary_encode(), texts.dictionary_encode()
+    words, names = t.dictionary.to_pylist(), s.dictionary.to_pylist()
+    may = np.array([not w.isascii() for w in words] + [False])
+    si, ti = (x.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (s, t))
+    rows = np.flatnonzero(may[ti] & (si >= 0))
+    pairs, first, where = np.unique(si[rows] * max(1, len(words)) + ti[rows], return_index=True, return_inverse=True)
+    got = []
+    for pair, row in zip(pairs.tolist(), rows[first].tolist()):
+        si_, ti_ = divmod(pair, max(1, len(words)))
+        prior = priors[row].as_py() if priors[row].is_valid else None
+        got.append(rep.posterior((names[si_], field), words[ti_], prior))
+    place = np.full(len(texts), -1)
+    place[rows] = where
+    return got, place
+
+
+def repair(metadata: DataFrame, model: Model | None = None, cases: bool = False) -> DataFrame:
     """One row per upload and name field: chain, probability of being garbled, restored text (long form).
 
-    Columns: replay_id, field_name, original, chain, garbled, restored. Null texts give no row.
+    Columns: replay_id, field_name, original, chain, garbled, restored. Null texts give no row. ``cases``: garbled ones only.
     """
-    counts, priors = model or fit(metadata_values(metadata))
-    shared = metadata.sparkSession.sparkContext.broadcast((counts, priors))
+    model = model or fit(metadata_values(metadata))
+    shared = model.share(metadata.sparkSession)
 
     def run(batches):
         rep = Repairer(*shared.value)
         for b in batches:
-            out = {k: [] for k in ("replay_id", "field_name", "original", "chain", "garbled", "restored")}
-            ids, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k, field in enumerate(FIELDS):
-                for i, s, t in zip(ids, sources, b.column(2 + k).to_pylist()):
-                    if t is None:
-                        continue
-                    chain, p, new = (IDENTITY, 0.0, t) if t.isascii() else rep.posterior((s if (s, field) in rep.priors else "*", field), t)
-                    for key, v in zip(out, (i, field, t, chain, p, new)):
-                        out[key].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=OUT)
-
-    return widen(metadata.select("replay_id", source_of(F.col("replay_path")).alias("s"), *FIELDS)).mapInArrow(
-        run, "replay_id long, field_name string, original string, chain string, garbled double, restored string"
-    )
+                texts = b.column(2 + k)
+                got, place = judge(rep, field, b.column(1), texts, b.column(4 + k))
+                got.append((IDENTITY, 0.0, None))  # what place -1 means
+                chains, p, new = (list(x) for x in zip(*got))
+                bad = np.array([c != IDENTITY for c in chains])[place]
+                keep = np.flatnonzero(bad if cases else texts.is_valid().to_numpy(zero_copy_only=False))
+                at = pa.array(np.where(place < 0, len(got) - 1, place)[keep])
+                original = texts.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).take(pa.array(keep)), pa.array([field] * len(keep), pa.string()), original, pa.array(chains, pa.string()).take(at),
+                    pa.array(p, pa.float64()).take(at), pa.array(new, pa.string()).take(at).fill_null(original) if len(keep) else original,
+                ], schema=OUT)
+
+    rows = model.beside(widen(metadata.select("replay_id", source_of(F.col("replay_path")).alias("s"), *FIELDS)), "s", FIELDS)
+    return rows.mapInArrow(run, "replay_id long, field_name string, original string, chain string, garbled double, restored string")
 
 
 OUT = pa.schema([("replay_id", pa.int64()), ("field_name", pa.string()), ("original", pa.string()), ("chain", pa.string()), ("garbled", pa.float64()), ("restored", pa.string())])
@@ -425,5 +529,5 @@ OUT = pa.schema([("replay_id", pa.int64()), ("field_name", pa.string()), ("origi
 def found(metadata: DataFrame, model=None) -> DataFrame:
     """(replay_id, field_name) of each garbled field, once per upload however often it was delivered."""
     return (
-        repair(metadata, model).where(F.col("chain") != IDENTITY).select("replay_id", "field_name").distinct()
+        repair(metadata, model, cases=True).select("replay_id", "field_name").distinct()
     )

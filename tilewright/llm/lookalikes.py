@@ -22,6 +22,7 @@ import unicodedata
 from functools import cache
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,37 +177,40 @@ def clean_batches(shared, finish=None):
         rep, cleaner = encoding_repair.Repairer(*shared.value), Cleaner()
         more = finish() if finish else None
         for b in batches:
-            sources, names = b.column(2).to_pylist(), b.column(3).to_pylist()
-            restored, garbled = [], []
-            for s, n in zip(sources, names):
-                bad = False
-                if n is not None and s is not None and not n.isascii():
-                    chain, _, new = rep.posterior((s if (s, "map_name") in rep.priors else "*", "map_name"), n)
-                    bad = chain != encoding_repair.IDENTITY
-                    n = new if bad else n
-                restored.append(n)
-                garbled.append(bad)
-            known = [n for n in restored if n is not None]
-            got = iter(cleaner.run(known))
-            pairs = [next(got) if n is not None else (None, False) for n in restored]
-            out = [
-                b.column(0), b.column(1), b.column(3), pa.array(restored, pa.string()), pa.array([c for c, _ in pairs], pa.string()),
-                pa.array(garbled, pa.bool_()), pa.array([case and not bad for (_, case), bad in zip(pairs, garbled)], pa.bool_()),
-            ]
+            # each distinct spelling of a batch is worked on once, then taken back to its rows
+            got, place = encoding_repair.judge(rep, "map_name", b.column(2), b.column(3), b.column(4))
+            bad = np.array([c != encoding_repair.IDENTITY for c, *_ in got] + [False])[place]
+            d = b.column(3).dictionary_encode()
+            words = d.dictionary.to_pylist()
+            fixed = {k: len(words) + i for i, k in enumerate(k for k, g in enumerate(got) if g[0] != encoding_repair.IDENTITY)}
+            words += [got[k][2] for k in fixed]
+            to = np.array([fixed.get(k, -1) for k in range(len(got))] + [-1])[place]
+            index = d.indices.to_numpy(zero_copy_only=False)
+            at = pa.array(np.where(bad, to, np.where(np.isnan(index.astype(float)), 0, index)).astype(np.int64), mask=~b.column(3).is_valid().to_numpy(zero_copy_only=False))
+            clean = cleaner.run(words)
             if more:
-                out = [b.column(0), b.column(1), *more([c for c, _ in pairs])]
-                yield pa.RecordBatch.from_arrays(out, names=["src_table", "row_id", "catalog_id", "how", "score"])
+                columns = more([c for c, _ in clean])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(c.take(at) for c in columns)], names=["src_table", "row_id", "catalog_id", "how", "score"])
             else:
+                case = pa.array([c for _, c in clean], pa.bool_()).take(at).fill_null(False).to_numpy(zero_copy_only=False)
+                out = [
+                    b.column(0), b.column(1), b.column(3), pa.array(words, pa.string()).take(at), pa.array([c for c, _ in clean], pa.string()).take(at),
+                    pa.array(bad), pa.array(case & ~bad),
+                ]
                 yield pa.RecordBatch.from_arrays(out, names=["src_table", "row_id", "map_name", "restored", "clean_name", "is_garbled", "is_case"])
 
     return run
 
 
+def typed_names(metadata: DataFrame, results: DataFrame, model) -> DataFrame:
+    """``stack`` spread over all cores, each row with the prior of its pool where that is not broadcast."""
+    return model.beside(widen(stack(metadata, results)), "source", ("map_name",))
+
+
 def normalise(metadata: DataFrame, results: DataFrame, model=None) -> DataFrame:
     """One row per delivered name: its one consistent form (``clean_name``) and whether it was a case."""
     model = model or encoding_repair.fit(encoding_repair.metadata_values(metadata))
-    shared = metadata.sparkSession.sparkContext.broadcast(model)
-    return widen(stack(metadata, results)).mapInArrow(clean_batches(shared), SCHEMA)
+    return typed_names(metadata, results, model).mapInArrow(clean_batches(model.share(metadata.sparkSession)), SCHEMA)
 
 
 def found(metadata: DataFrame, results: DataFrame, model=None) -> DataFrame:
