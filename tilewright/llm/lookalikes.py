@@ -7,8 +7,8 @@ by ``translate``, ligatures and the like by a lookup per character), composition
 letters take the script of the word's own letters. A word with unmistakable letters of two scripts, such as a name with
 a version mark glued to it, is left alone.
 
-A name is a *case* if a step changed a letter, number, space or invisible character. Colour codes, punctuation (also
-full-width) and decoration are no case; nor are words wholly in another script, or names that are garbled (problem 1).
+A name is a *case* if a step changed a letter, number, space, invisible character or full-width form, be it only of a
+full stop. Colour codes, decoration and punctuation of its own width (ASCII, or CJK marks) are no case; nor are words wholly in another script, or names that are garbled (problem 1).
 
 Defined results: null stays null and is no case; an empty text stays empty. Tables are built from the Unicode data of
 the Python in use; only the look-alike pairs are fixed values.
@@ -90,7 +90,7 @@ def _sql() -> str:
     # letters that settle a word as Latin, since no letter of another script looks like them
     latin_only = "".join(c for c in string.ascii_letters if c not in CYRILLIC_LATIN + GREEK_LATIN) + "\\x{c0}-\\x{24f}\\x{1e00}-\\x{1eff}"
     wide = "".join(chr(p) for p in [*range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41), *range(0xFF5B, 0xFF5F)])
-    narrow = unicodedata.normalize("NFKC", wide)  # full-width punctuation is no case, but has one form too
+    narrow = unicodedata.normalize("NFKC", wide)  # full-width punctuation: a compatibility form like full-width letters
     cyr_like, greek_like = CYRILLIC, GREEK
     first = {}
     for c, l in zip(CYRILLIC, CYRILLIC_LATIN):
@@ -127,7 +127,7 @@ def _sql() -> str:
                  regexp_matches(whole, '\\p{{Latin}}') AND NOT regexp_matches(regexp_replace(whole, '[{cyr_like}{greek_like}]', '', 'g'), '[\\p{{Cyrillic}}\\p{{Greek}}]') AS latin_name FROM d),
     f AS (SELECT *, array_to_string(list_transform(words, lambda w: {fixed}), '') AS alike FROM e)
     SELECT i, {tr('coalesce(alike, whole)', (wide, narrow))} AS clean,
-           (is_form OR nfc_normalize(bare) <> bare OR regexp_matches(bare, '[{invisible}]')
+           (is_form OR regexp_matches(bare, '[\\x{{ff01}}-\\x{{ff5e}}]') OR nfc_normalize(bare) <> bare OR regexp_matches(bare, '[{invisible}]')
             OR regexp_matches(replace(bare, ' ', ''), '[\\p{{Zs}}\\x{{2028}}\\x{{2029}}]')
             OR coalesce(alike, whole) <> whole) AS is_case
     FROM f ORDER BY i"""
