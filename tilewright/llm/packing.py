@@ -1,14 +1,18 @@
 """Filling containers of fixed capacity with documents (problem 8).
 
-Each chunk of about ``CHUNK`` documents is packed by itself: best fit in falling order of size gives a start, then
-swap-based local search between underfull bins moves one document, exchanges one for one or two for one, whenever this
-raises the sum of squared fills (the fuller bin gains), until bins run empty. The ``CARRY`` least filled bins of each
-chunk go on to the next level, where ``FAN_IN`` chunks meet, and so on to the last. No task ever holds more than a chunk
-or FAN_IN * CARRY bins, and all but a few bins of the whole corpus have been searched.
+Each chunk of ``CHUNK`` consecutive documents is filled by itself, where it lies: next fit, which opens a bin whenever a
+document does not fit the last one, gives a cheap start in the documents' order, far from full. Swap-based local search does the
+rest: the least filled bin gives its documents to fuller ones, by moving one, by exchanging one for one or two for one,
+whichever raises the sum of squared fills most, until it is empty or nothing raises it; passes go on until one empties no bin.
+A bin of any length is searched whole: different sizes that fit a bin together are few (the first k add up to k²/2), so
+all sums of two are listed, and the best partner of each foreign document is found by bisection.
+
+Bins below ``UNDERFULL`` then meet those of other chunks, in chunks of the same size, level by level, as long as a level
+lowers their number. No task ever holds more than a chunk, and no underfull bin is left behind while that helps.
 
 Defined results: every document is in exactly one bin of each profile, documents of size 0 too (they take no room); one
 that exceeds the capacity alone is cut into parts that fill bins, the last part is packed like a document; profiles
-with a null or non-positive capacity get nothing; null sizes count as 0.
+with a null or non-positive capacity get nothing; null sizes count as 0; null and repeated doc_ids are documents like any.
 """
 
 from __future__ import annotations
@@ -17,108 +21,126 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.session import collect_bounded, cut
 
-CHUNK = 4096  # documents packed together at first
-FAN_IN = 16  # chunks that meet at the next level
-CARRY = 8  # least filled bins that a chunk hands on
-UNDERFULL = 0.99  # bins below this fill take part in the search
-PASSES = 3  # a further pass is made only after one that emptied a bin
+CHUNK = 4096  # documents packed together
+UNDERFULL = 0.99  # bins below this fill go on to the next level
 PROFILES = 1000  # bound on the profiles table
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[int]:
-    """Bin number of each item, largest first into the bin it fills best."""
-    where = [0] * len(sizes)
-    room: list[tuple[int, int]] = []  # (room left, bin), sorted
-    bins = 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        k = bisect_left(room, (sizes[i], -1))
-        if k < len(room):
-            left, b = room.pop(k)
-        else:
-            left, b, bins = capacity, bins, bins + 1
-        where[i] = b
-        insort(room, (left - sizes[i], b))
+def next_fit(sizes: list[int], capacity: int) -> list[int]:
+    """Bin number of each item, in order: the last bin if it fits, else a new one."""
+    where, bins, room = [], -1, -1
+    for s in sizes:
+        if s > room:
+            bins, room = bins + 1, capacity
+        where.append(bins)
+        room -= s
     return where
 
 
-def local_search(sizes: list[int], where: list[int], capacity: int, passes: int = PASSES) -> list[int]:
-    """Exchange items between underfull bins, raising the sum of squared fills, until no bin empties any more."""
-    size, at = np.array(sizes, dtype=np.int64), np.array(where, dtype=np.int64)
-    fill = np.bincount(at, weights=size).astype(np.int64)
-    for _ in range(passes):
-        emptied = False
-        open_bins = np.flatnonzero((fill > 0) & (fill < UNDERFULL * capacity))
-        for b in open_bins[np.argsort(fill[open_bins], kind="stable")]:
-            while 0 < fill[b] < UNDERFULL * capacity and _improve(size, at, fill, int(b), capacity):
-                pass
-            emptied |= bool(fill[b] == 0)
-        if not emptied:
-            break
-    return at.tolist()
-
-
-def _improve(size, at, fill, b: int, capacity: int) -> bool:
-    """The exchange out of bin ``b`` that fills another, fuller bin best; False if there is none."""
-    mine = np.flatnonzero((at == b) & (size > 0))
-    targets = (fill >= fill[b]) & (fill < capacity)
-    targets[b] = False
-    bins = np.flatnonzero(targets)
-    if not len(bins):
-        return False
-    room = capacity - fill
-    most = room[bins].max()
-    best, move = 0, None
-    for i in mine:  # move
-        if size[i] <= most and size[i] > best:
-            fits = bins[room[bins] >= size[i]]
-            best, move = size[i], ([i], None, fits[np.argmin(room[fits])])
-    if move is not None:
-        _apply(size, at, fill, b, move)
-        return True
-    theirs = np.flatnonzero(targets[at] & (size > 0))
-    gap = room[at[theirs]]
-    units = [([i], size[i]) for i in mine]
-    if len(mine) <= 64:
-        units += [([i, j], size[i] + size[j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-    else:  # every item still meets a partner: the neighbours in size
-        order = mine[np.argsort(size[mine], kind="stable")]
-        units += [([i, j], size[i] + size[j]) for i, j in zip(order, order[1:])]
-    for items, total in units:  # one for one, two for one
-        gain = total - size[theirs]
-        ok = np.where((gain > 0) & (gain <= gap), gain, 0)
-        k = int(np.argmax(ok)) if len(ok) else 0
-        if len(ok) and ok[k] > best:
-            best, move = ok[k], (items, theirs[k], at[theirs[k]])
-    if move is None:
-        return False
-    _apply(size, at, fill, b, move)
-    return True
-
-
-def _apply(size, at, fill, b, move):
-    items, back, a = move
-    for i in items:
-        at[i] = a
-        fill[a] += size[i]
-        fill[b] -= size[i]
-    if back is not None:
-        at[back] = b
-        fill[a] -= size[back]
-        fill[b] += size[back]
-
-
-def pack(sizes: list[int], capacity: int) -> list[int]:
-    """Bin number of each item (dense, from 0); items of size 0 go to the fullest bin."""
+class Bins:
+    """Items in bins, with the bins' room in order."""
+
+    def __init__(self, sizes: list[int], where: list[int], capacity: int):
+        self.capacity = capacity
+        self.size, self.at = np.array(sizes, dtype=np.int64), np.array(where, dtype=np.int64)
+        self.fill = np.bincount(self.at, weights=self.size).astype(np.int64)
+        self.members: list[set[int]] = [set() for _ in self.fill]
+        for i, b in enumerate(where):
+            self.members[b].add(i)
+        self.rooms = sorted((capacity - f, b) for b, f in enumerate(self.fill.tolist()) if 0 < f < capacity)
+
+    def put(self, item: int, b: int) -> None:
+        old, n = int(self.at[item]), int(self.size[item])
+        self.members[old].remove(item)
+        self.members[b].add(item)
+        self.at[item] = b
+        for k, new in ((old, int(self.fill[old]) - n), (b, int(self.fill[b]) + n)):
+            f = int(self.fill[k])
+            if 0 < f < self.capacity:
+                self.rooms.pop(bisect_left(self.rooms, (self.capacity - f, k)))
+            self.fill[k] = new
+            if 0 < new < self.capacity:
+                insort(self.rooms, (self.capacity - new, k))
+
+    def moves(self, b: int) -> set[int]:
+        """Move items of ``b``, largest first, each into the fullest bin that has room and is no emptier; those bins."""
+        into = set()
+        for i in sorted(self.members[b], key=lambda i: (-self.size[i], i)):
+            k = bisect_left(self.rooms, (int(self.size[i]), -1))
+            if k < len(self.rooms) and self.rooms[k][1] == b:
+                k += 1
+            if k < len(self.rooms) and self.rooms[k][0] <= self.capacity - self.fill[b]:
+                into.add(self.rooms[k][1])
+                self.put(i, self.rooms[k][1])
+        return into
+
+    def exchange(self, b: int) -> int | None:
+        """The exchange of one or two items of ``b`` for one of a fuller bin that fills the latter most; that bin."""
+        mine = np.array(sorted(self.members[b]))
+        values, first, count = np.unique(self.size[mine], return_index=True, return_counts=True)
+        x, y = np.triu_indices(len(values))
+        pair = (x != y) | (count[x] > 1)  # two of one size must be two items
+        x, y = x[pair], y[pair]
+        units = np.concatenate((values, values[x] + values[y]))
+        order = np.argsort(units, kind="stable")
+        units = units[order]
+        fuller = (self.fill < self.capacity) & (self.fill >= self.fill[b])
+        fuller[b] = False
+        theirs = np.flatnonzero(fuller[self.at])
+        if not len(theirs):
+            return None
+        own = self.size[theirs]
+        k = np.searchsorted(units, own + self.capacity - self.fill[self.at[theirs]], side="right") - 1
+        gain = np.where(k >= 0, units[np.maximum(k, 0)] - own, 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            return None
+        u, back = int(order[k[best]]), int(theirs[best])
+        if u < len(values):
+            items = [int(mine[first[u]])]
+        else:
+            u -= len(values)
+            of = [i for i in mine.tolist() if self.size[i] == values[y[u]]]
+            one = int(mine[first[x[u]]])
+            items = [one, next(i for i in of if i != one)]
+        a = int(self.at[back])
+        self.put(back, b)
+        for i in items:
+            self.put(i, a)
+        return a
+
+    def emptiest(self, given_up: set[int]) -> int | None:
+        return next((b for _, b in reversed(self.rooms) if b not in given_up), None)
+
+
+def local_search(sizes: list[int], where: list[int], capacity: int) -> list[int]:
+    """Exchange items between bins, raising the sum of squared fills, until a pass over all bins empties none."""
+    bins = Bins(sizes, where, capacity)
+    emptied = True
+    while emptied:
+        emptied, given_up = False, set()
+        while (b := bins.emptiest(given_up)) is not None:
+            while bins.fill[b] and ((into := bins.moves(b)) or (bins.fill[b] and (got := bins.exchange(b)) is not None and (into := {got}))):
+                given_up -= into  # a bin that changed may have something to give again
+            if bins.fill[b]:
+                given_up.add(b)
+            emptied |= not bins.fill[b]
+    return bins.at.tolist()
+
+
+def pack(sizes: list[int], capacity: int, start: list[int] | None = None) -> list[int]:
+    """Bin number of each item (dense, from 0), from next fit or from given bins; items of size 0 go to the first bin."""
     real = [i for i, s in enumerate(sizes) if s > 0]
     where = [0] * len(sizes)
     if real:
         some = [sizes[i] for i in real]
-        got = local_search(some, best_fit(some, capacity), capacity)
+        got = local_search(some, next_fit(some, capacity) if start is None else np.unique([start[i] for i in real], return_inverse=True)[1].tolist(), capacity)
         number: dict[int, int] = {}
         for i, b in zip(real, got):
             where[i] = number.setdefault(b, len(number))
@@ -132,27 +154,57 @@ ITEM = pa.schema([
 ITEM_SQL = "profile string, capacity long, chunk long, bin long, doc_id long, part long, tokens long, carry boolean"
 
 
-def _packer(last: bool, carry: int):
-    def run(t: pa.Table) -> pa.Table:
-        capacity, chunk = t.column("capacity")[0].as_py(), t.column("chunk")[0].as_py()
-        t = t.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("part", "ascending")])
-        sizes = t.column("tokens").to_pylist()
-        where = pack(sizes, capacity)
-        fill = np.bincount(where, weights=sizes)
-        low = set() if last else {int(b) for b in np.argsort(fill, kind="stable")[:carry] if fill[b] < UNDERFULL * capacity}
-        return pa.table([
-            t.column("profile"), t.column("capacity"), pa.array([chunk] * len(where), pa.int64()), pa.array(where, pa.int64()),
-            t.column("doc_id"), t.column("part"), t.column("tokens"), pa.array([b in low for b in where], pa.bool_()),
-        ], schema=ITEM)
+def _packed(profile: str, capacity: int, chunk: int, ids: pa.Array, part: pa.Array, sizes: list[int], start=None) -> pa.Table:
+    where = pack(sizes, capacity, start)
+    carry = np.bincount(where, weights=sizes) < UNDERFULL * capacity
+    n = len(sizes)
+    return pa.table([
+        pa.array([profile] * n, pa.string()), pa.array([capacity] * n, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array(where, pa.int64()),
+        ids, part, pa.array(sizes, pa.int64()), pa.array(carry[where], pa.bool_()),
+    ], schema=ITEM)
+
+
+def _first(profiles: list[tuple[str, int]], chunk: int):
+    """Level 0: consecutive documents of a partition, packed where they lie."""
+
+    def run(batches):
+        number, held, rows = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            t = pa.Table.from_batches(held).combine_chunks()
+            n = t.column("n").to_numpy()
+            for profile, capacity in profiles:
+                # a document that alone exceeds the capacity: full parts are bins of their own, the rest is an item
+                full = np.where(n > capacity, n // capacity, 0)
+                keep = np.flatnonzero((n > full * capacity) | (full == 0))
+                if len(keep):
+                    yield from _packed(profile, capacity, number, t.column("doc_id").combine_chunks().take(pa.array(keep)), pa.array(full[keep]), (n - full * capacity)[keep].tolist()).to_batches()
+
+        for b in batches:
+            while b.num_rows:
+                head = b.slice(0, chunk - rows)
+                held.append(head)
+                rows += head.num_rows
+                b = b.slice(head.num_rows)
+                if rows == chunk:
+                    yield from flush()
+                    number, held, rows = number + 1, [], 0
+        if rows:
+            yield from flush()
 
     return run
 
 
-def fill(sized: DataFrame, profiles: DataFrame, documents: int | None = None, chunk: int = CHUNK, fan_in: int = FAN_IN, carry: int = CARRY) -> DataFrame:
-    """``sized(doc_id, tokens)`` into containers: (profile, bin_id, doc_id, part, tokens).
+def _again(t: pa.Table) -> pa.Table:
+    """A later level: underfull bins of several chunks, searched from where they are."""
+    t = t.sort_by([("from_chunk", "ascending"), ("bin", "ascending"), ("tokens", "descending"), ("doc_id", "ascending"), ("part", "ascending")])
+    start = np.unique(np.stack((t.column("from_chunk").to_numpy(), t.column("bin").to_numpy())), axis=1, return_inverse=True)[1].reshape(-1).tolist()
+    first = [t.column(c)[0].as_py() for c in ("profile", "capacity", "chunk")]
+    return _packed(*first, t.column("doc_id").combine_chunks(), t.column("part").combine_chunks(), t.column("tokens").to_pylist(), start)
+
 
-    ``documents``: their number if it is known without counting ``sized``.
-    """
+def fill(sized: DataFrame, profiles: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``sized(doc_id, tokens)`` into containers: (profile, bin_id, doc_id, part, tokens)."""
     sizes_of = [
         (r["profile"], int(r["capacity"])) for r in collect_bounded(profiles.select("profile", "capacity").distinct(), PROFILES, "pack profiles")
         if r["capacity"] is not None and r["capacity"] > 0
@@ -163,35 +215,23 @@ def fill(sized: DataFrame, profiles: DataFrame, documents: int | None = None, ch
         return spark.createDataFrame([], out_schema)
     # sizes are costly and read by every branch below: computed once, two numbers a document
     sized = cut(sized.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("n")))
-    n = sized.count() if documents is None else documents
-    chunks = max(1, -(-n // chunk))
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).cast("long").alias("capacity")) for p, c in sizes_of)))
-    items = sized.select("doc_id", "n", each.alias("p")).select("doc_id", "n", "p.profile", "p.capacity")
-    # a document that alone exceeds the capacity: full parts are bins of their own, the rest is an item
-    cut_up = items.withColumn("full", F.expr("if(n > capacity, n div capacity, 0)")).withColumn("rest", F.col("n") - F.col("full") * F.col("capacity"))
-    full = (
-        cut_up.where("full > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"))
-        .select("profile", F.concat(F.lit("full-"), F.col("doc_id"), F.lit("-"), F.col("part")).alias("bin_id"), "doc_id", F.col("part").cast("long"), F.col("capacity").alias("tokens"))
-    )
-    level = (
-        cut_up.where("rest > 0 or full = 0")
-        .select("profile", "capacity", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.lit(0).cast("long").alias("bin"), "doc_id", F.col("full").cast("long").alias("part"), F.col("rest").alias("tokens"))
-        .withColumn("carry", F.lit(False))
+    out = (
+        sized.where(F.col("n") > min(c for _, c in sizes_of)).select("doc_id", "n", each.alias("p")).where("n > p.capacity")
+        .select("p.profile", "p.capacity", "doc_id", F.explode(F.expr("sequence(0, n div p.capacity - 1)")).alias("part"))
+        .select("profile", F.concat(F.lit("full-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.monotonically_increasing_id()).alias("bin_id"), "doc_id", F.col("part").cast("long"), F.col("capacity").alias("tokens"))
     )
-    parts, depth = [full], 0
+    done, depth, before = cut(sized.mapInArrow(_first(sizes_of, chunk), ITEM_SQL)), 0, None
     while True:
-        last = chunks == 1
-        done = level.groupBy("profile", "capacity", "chunk").applyInArrow(_packer(last, carry), ITEM_SQL)
-        done = done if last else cut(done)
-        bins = done.where("not carry").select(
-            "profile", F.concat(F.lit(f"{depth}-"), F.col("chunk"), F.lit("-"), F.col("bin")).alias("bin_id"), "doc_id", "part", "tokens"
-        )
-        parts.append(bins)
+        low = done.where("carry")
+        # bins of this level, and what would go up
+        bins, items = done.agg(F.count_distinct("profile", "chunk", "bin"), F.count_if("carry")).first()
+        last = not items or (before is not None and bins >= before)
+        kept = done if last else done.where("not carry")
+        out = out.unionByName(kept.select("profile", F.concat(F.lit(f"{depth}-"), F.col("chunk"), F.lit("-"), F.col("bin")).alias("bin_id"), "doc_id", "part", "tokens"))
         if last:
-            break
-        chunks, depth = -(-chunks // fan_in), depth + 1
-        level = done.where("carry").withColumn("chunk", F.expr(f"chunk div {fan_in}"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            return out
+        before = low.select("profile", "chunk", "bin").distinct().count()
+        depth, chunks = depth + 1, max(1, -(-items // (chunk * len(sizes_of))))
+        up = low.withColumnRenamed("chunk", "from_chunk").withColumn("chunk", F.pmod(F.xxhash64("from_chunk", "bin", F.lit(depth)), F.lit(chunks))).drop("carry")
+        done = cut(up.groupBy("profile", "capacity", "chunk").applyInArrow(_again, ITEM_SQL))

@@ -49,8 +49,7 @@ def p7_ids(spark, d):
 
 
 def p8_bins(spark, d):
-    documents = table(spark, d, "documents")
-    return packing.fill(prefix_bpe.sizes(documents), table(spark, d, "pack_profiles"), documents.count())
+    return packing.fill(prefix_bpe.sizes(table(spark, d, "documents")), table(spark, d, "pack_profiles"))
 
 
 def p9_found(spark, d):
