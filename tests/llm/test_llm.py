@@ -189,8 +189,8 @@ def test_formatting_duplicates(spark):
         groups.setdefault(D.canonical(raw), []).append(i)
     want = {(min(x for x in g if x is not None), i) for g in groups.values() for i in g if i is not None and i != min(x for x in g if x is not None)}
     assert {tuple(r) for r in D.found(df).collect()} == want
-    for bucket in (3, 40):  # small buckets: several rounds of splitting
-        got = {bytes(r["key"]): (r["copies"], r["first_id"]) for r in D.groups(df, bucket=bucket).collect()}
+    for bucket, task, prefixes in ((3, 3, D.PREFIXES), (40, 40, D.PREFIXES), (2, 10, 4), (3, D.TASK, 1)):  # several rounds of splitting, in several waves
+        got = {bytes(r["key"]): (r["copies"], r["first_id"]) for r in D.groups(df, bucket=bucket, task=task, prefixes=prefixes).collect()}
         assert got == {k: (len(g), min((x for x in g if x is not None), default=None)) for k, g in groups.items()}
     assert D.collapse(df).agg(F.sum("copies")).first()[0] == len(rows)
     assert D.found(df.limit(0)).count() == 0
@@ -201,12 +201,29 @@ def test_radix_buckets_fit():
     splits = {b"", b"a", b"aa"}
     assert {D.bucket_of(k, splits) for k in keys} == {b"b", b"ab", b"aaa", b"aab"}
     assert D.bucket_of(b"a", splits) == b"a" and D.bucket_of(b"", splits) == b""
+    # within a task: no part has more than it may, unless its keys are equal, and none is lost
+    more = keys + [b"ab"] * 9 + [b""]
+    got = list(D.local_parts(more, list(range(len(more))), 0, 4))
+    assert sorted(i for p in got for i in p) == list(range(len(more)))
+    assert all(len(p) <= 4 or len({more[i] for i in p}) == 1 for p in got) and len(got) > len(more) / 8
     t = D.Trie()
     for k in keys + keys[:5] + [b""]:
         t.add(k, 1, 3)
     assert {k: n for k, n, _ in t.items()} == {**{k: 1 + (k in keys[:5]) for k in keys}, b"": 1}
 
 
+def test_buckets_stay_bounded(spark):
+    """With far more keys than prefixes allowed, no bucket outgrows its task."""
+    keys = [f"{i * 7919 % 100003:06d}".encode() for i in range(4000)]
+    parts = spark.createDataFrame([(k, 1, i) for i, k in enumerate(keys)], D.PARTIAL_SQL)
+    splits = D.radix_splits(parts, len(keys), 50)
+    size = {}
+    for k in keys:
+        size[D.bucket_of(k, splits)] = size.get(D.bucket_of(k, splits), 0) + 1
+    assert max(size.values()) <= 50 and len(size) > 80
+    assert splits == D.radix_splits(parts, len(keys), 50, step=1)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     pytest.importorskip("public_tokenizers")

@@ -4,14 +4,16 @@ A submission is a JSON object, ``key=value`` pairs split by ``;`` or ``key: valu
 five fields, reduced to letters and digits in one letter case, are its canonical bytes. Counting:
 
 1. each map task puts its records into tries with terminal counters, so copies within a task become one partial;
-2. recursive radix partitioning: the partials' bytes are split at the first byte; buckets that hold more than they may
-   are split at the next byte, and so on, until each fits (equal bytes cannot be split, but after step 1 they are at
-   most one partial per task); only the prefixes of oversized buckets, of which there are at most ``BUCKETS`` per byte,
-   ever reach the driver;
-3. one trie per bucket adds up the partials: copies and smallest id of each record.
+2. recursive radix partitioning: the partials' bytes are split by their first bytes; buckets that hold more than ``TASK``
+   partials are split by further bytes, and so on, until each fits a task (equal bytes cannot be split, but after step 1
+   they are at most one partial per emptied trie). Each round looks ``STEP`` bytes ahead in one pass. Only the prefixes of
+   oversized buckets reach the driver; a prefix is one of at most ``PREFIXES`` because a wave has no more than PREFIXES * TASK
+   partials, and data beyond that are worked off in several waves of keys;
+3. within its task a bucket is split on in the same way until each part has at most ``BUCKET`` partials, and one trie at
+   a time adds them up: copies and smallest id of each record.
 
-Records are then led back to their group: groups that hold more than a thousandth of all rows are fewer than a thousand and are
-broadcast, the others meet their records in a shuffle in which no key is hot.
+Records are then led back to their group: groups that hold more than one in ``HOT`` of all rows are fewer than HOT and are
+broadcast, the others meet their records in a shuffle in which no key is hot. Long keys go by their SHA-256.
 
 Defined results: a null or unreadable text counts as a record with five empty fields; absent, null and empty fields are
 equal; names of unknown fields are ignored, of a repeated field the last value holds; null ids take no part as first
@@ -20,6 +22,7 @@ id and give no row.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -32,10 +35,13 @@ from pyspark.sql import functions as F
 from tilewright.session import collect_bounded, cut, widen
 
 FIELDS = ("mapname", "mapdataname", "widthtiles", "heighttiles", "tilesetkey")
-BUCKET = 20_000  # partials a bucket may hold at least
-BUCKETS = 65_536  # bound on the buckets, and so on the split prefixes
+BUCKET = 20_000  # partials in one trie, at most
+TASK = 500_000  # partials in one task, at most
+PREFIXES = 65_536  # bound on the oversized prefixes of a wave
+STEP = 3  # bytes that a round looks ahead
 TERMINALS = 200_000  # records in a map task's trie before it is emptied
-HOT = 1000  # groups above this share (one in so many rows) are broadcast
+HOT = 50_000  # groups above this share (one in so many rows) are broadcast
+LONG = 64  # bytes of a key beyond which its hash stands for it in joins
 NOT_LETTER = re.compile(r"[^a-z]")
 LINES = re.compile(r"[|\n\r]")
 
@@ -145,36 +151,66 @@ def bucket_of(key: bytes, splits: set[bytes]) -> bytes:
     return key[:n]
 
 
-def radix_splits(parts: DataFrame, capacity: int, total: int, bound: int = BUCKETS) -> set[bytes]:
-    """Step 2: the prefixes whose buckets hold more than ``capacity`` partials, byte by byte."""
+def radix_splits(parts: DataFrame, total: int, capacity: int, step: int = STEP) -> set[bytes]:
+    """Step 2: the prefixes whose buckets hold more than ``capacity`` of all ``total`` partials, ``step`` bytes a round."""
     splits: set[bytes] = set()
-    level = {b""} if total > capacity else set()
-    spark = parts.sparkSession
+    level, depth = ({b""} if total > capacity else set()), 0
     while level:
         splits |= level
-        shared = spark.sparkContext.broadcast((splits, level))
+        shared = parts.sparkSession.sparkContext.broadcast(level)
 
-        def count(batches, shared=shared):
-            known, last = shared.value
-            depth = len(next(iter(last))) + 1
+        def count(batches, shared=shared, depth=depth):
+            last = shared.value
             for b in batches:
                 n: dict[bytes, int] = {}
                 for key in b.column(0).to_pylist():
-                    if len(key) > depth and key[: depth - 1] in last:  # what ends here cannot be split
-                        n[key[:depth]] = n.get(key[:depth], 0) + 1
+                    if len(key) > depth and key[:depth] in last:  # what ends here cannot be split
+                        for k in range(depth + 1, min(depth + step, len(key) - 1) + 1):
+                            n[key[:k]] = n.get(key[:k], 0) + 1
                 yield pa.RecordBatch.from_pydict({"prefix": pa.array(list(n), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
 
         big = parts.select("key").mapInArrow(count, "prefix binary, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > capacity)
-        level = {bytes(r["prefix"]) for r in collect_bounded(big.select("prefix"), bound, "oversized prefixes")}
+        found = {bytes(r["prefix"]) for r in collect_bounded(big.select("prefix"), step * (total // capacity), "oversized prefixes")}
+        splits |= found
+        depth += step
+        level = {p for p in found if len(p) == depth}
     return splits
 
 
-def groups(records: DataFrame, bucket: int = BUCKET, buckets: int = BUCKETS) -> DataFrame:
+def local_parts(keys: list[bytes], rows: list[int], depth: int, most: int) -> Iterator[list[int]]:
+    """Places of keys that agree in their first ``depth`` bytes, split by further bytes until no part has more than ``most``."""
+    stack = [(rows, depth)]
+    while stack:
+        rows, depth = stack.pop()
+        if len(rows) <= most:
+            yield rows
+            continue
+        by: dict[bytes, list[int]] = {}
+        for i in rows:
+            by.setdefault(keys[i][depth : depth + 1], []).append(i)
+        ended = by.pop(b"", None)  # equal keys: they cannot be split, and are one terminal
+        if ended:
+            yield ended
+        stack.extend((part, depth + 1) for part in by.values())
+
+
+def groups(records: DataFrame, bucket: int = BUCKET, task: int = TASK, prefixes: int = PREFIXES) -> DataFrame:
     """(key, copies, first_id): one row per distinct record."""
     parts = cut(partials(records))
     total = parts.count()
-    capacity = max(bucket, -(-total // buckets))  # so there are never more than ``buckets`` oversized prefixes
-    shared = records.sparkSession.sparkContext.broadcast(radix_splits(parts, capacity, total, buckets))
+    waves = max(1, -(-total // (prefixes * task)))
+    out = None
+    for w in range(waves):
+        wave = parts if waves == 1 else parts.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == w)
+        got = _wave(wave, total if waves == 1 else wave.count(), bucket, task)
+        out = got if out is None else out.unionByName(cut(got))
+    return out
+
+
+def _wave(parts: DataFrame, total: int, bucket: int, task: int) -> DataFrame:
+    sc = parts.sparkSession.sparkContext
+    capacity = min(task, max(bucket, total // (2 * sc.defaultParallelism)))  # smaller buckets than a task may hold, if that keeps all cores busy
+    shared = sc.broadcast(radix_splits(parts, total, capacity))
 
     def place(batches):
         splits = shared.value
@@ -183,10 +219,14 @@ def groups(records: DataFrame, bucket: int = BUCKET, buckets: int = BUCKETS) ->
             yield pa.RecordBatch.from_arrays([where, *b.columns], names=["bucket", *PARTIAL.names])
 
     def count(t: pa.Table) -> pa.Table:
-        trie = Trie()
-        for key, n, first in zip(*(t.column(c).to_pylist() for c in PARTIAL.names)):
-            trie.add(key, n, first)
-        return pa.Table.from_batches([_table(list(trie.items()))])
+        keys, copies, firsts = (t.column(c).to_pylist() for c in PARTIAL.names)
+        out = []
+        for rows in local_parts(keys, list(range(len(keys))), len(t.column("bucket")[0].as_py()), bucket):
+            trie = Trie()
+            for i in rows:
+                trie.add(keys[i], copies[i], firsts[i])
+            out.append(_table(list(trie.items())))
+        return pa.Table.from_batches(out, schema=PARTIAL)
 
     return parts.mapInArrow(place, f"bucket binary, {PARTIAL_SQL}").groupBy("bucket").applyInArrow(count, PARTIAL_SQL)
 
@@ -202,9 +242,10 @@ def found(records: DataFrame) -> DataFrame:
 
     def keys(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canonical(r) for r in b.column(1).to_pylist()], pa.binary())], names=["record_id", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short(canonical(r)) for r in b.column(1).to_pylist()], pa.binary())], names=["record_id", "key"])
 
-    multiple = cut(groups(records).where("copies > 1 and first_id is not null"))
+    brief = F.when(F.length("key") > LONG, F.concat(F.lit(b"\xfe"), F.unhex(F.sha2("key", 256)))).otherwise(F.col("key"))
+    multiple = cut(groups(records).where("copies > 1 and first_id is not null").select(brief.alias("key"), "copies", "first_id"))
     total = max(1, records.count())
     hot = multiple.where(F.col("copies") * HOT > total)  # fewer than HOT groups can hold more than 1/HOT of the rows
     rest = multiple.where(F.col("copies") * HOT <= total)
@@ -218,3 +259,8 @@ def found(records: DataFrame) -> DataFrame:
         marked.join(rest.select("key", "first_id"), "key", "left")
         .select(F.coalesce("hot_id", "first_id").alias("first_id"), "record_id").where("first_id <> record_id")
     )
+
+
+def short(key: bytes) -> bytes:
+    """The key, or what stands for a long one in joins; canonical bytes hold neither 0xfe nor 0xff."""
+    return key if len(key) <= LONG else b"\xfe" + hashlib.sha256(key).digest()
