@@ -127,8 +127,24 @@ def test_cache_lookup(spark):
     dynamic = spark.createDataFrame([("both", 3)], "map_key string, result_id long")
     got = {r["req_key"]: (r["result_id"], r["how"]) for r in cache.lookup(req, embedded, dynamic).collect()}
     assert got == {"dominator-se": (1, "exact"), "dominator-sex": (1, "fuzzy"), "nothing": (None, "miss"), "both": (3, "exact")}
-    done = cache.analyse_missing(req, embedded, lambda m: m.select("req_key", F.lit(99).cast("long").alias("result_id")))
-    assert {tuple(r) for r in done.collect()} == {("dominator-se", 1), ("dominator-sex", 1), ("both", 2), ("nothing", 99)}
+    asked = req.withColumn("replay_id", F.lit(5).cast("long"))
+    answers, store = cache.analyse(asked, embedded, dynamic, lambda m: m.select(F.col("req_key").alias("map_key"), (F.col("replay_id") + 94).alias("result_id")))
+    assert {tuple(r) for r in answers.collect()} == {("dominator-se", 1, "exact"), ("dominator-sex", 1, "fuzzy"), ("both", 3, "exact"), ("nothing", 99, "computed")}
+    assert {tuple(r) for r in store.collect()} == {("both", 3), ("nothing", 99)}
+    again, _ = cache.analyse(asked, embedded, store, lambda m: m.select(F.col("req_key").alias("map_key"), F.lit(-1).cast("long").alias("result_id")))
+    assert {(r["req_key"], r["result_id"], r["how"]) for r in again.collect()} >= {("nothing", 99, "exact")}
+    none, _ = cache.analyse(asked, embedded, None, lambda m: m.limit(0).select(F.col("req_key").alias("map_key"), F.lit(-1).cast("long").alias("result_id")))
+    assert {(r["req_key"], r["how"]) for r in none.collect()} >= {("nothing", "miss")}
+
+
+def test_cache_keeps_the_first_for_fuzzy_and_the_last_for_exact(spark):
+    stored = [(4, "Dominator SE", 30), (2, "Dominator SE", 20), (9, "Dominator SF", 10), (7, "", 1), (8, None, 1)]
+    r = spark.createDataFrame(stored, "result_id long, map_name string, at long").withColumn("analyzed_at", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    req = spark.createDataFrame([("dominator-se",), ("dominator-sx",)], "req_key string")
+    got = {x["req_key"]: (x["result_id"], x["how"]) for x in cache.lookup(req, cache.entries(r)).collect()}
+    assert got == {"dominator-se": (4, "exact"), "dominator-sx": (9, "fuzzy")}
+    without = cache.entries(r.where("result_id <> 9"))
+    assert {x["req_key"]: x["result_id"] for x in cache.lookup(req, without).collect()} == {"dominator-se": 4, "dominator-sx": 2}
 
 
 def test_compare(spark):
@@ -149,13 +165,22 @@ def test_relational_dirt(spark):
     assert relational.nearest_base(meta, r).count() == 1
     gas = {(x["result_id"], x["base_no"]): x["mineral_only"] for x in relational.mineral_only(meta, r).collect()}
     assert gas[(3, 0)] is False and gas[(3, 1)] is True  # both stand on one spot: the first owns the geyser
-    for f in (relational.base_radii, relational.polygon_stats, relational.vertex_deviation, relational.unique_names, relational.natural_names, relational.duplicate_names, relational.distinct_chokes, relational.semantic_counters, relational.digest):
+    for f in (relational.base_radii, relational.polygon_stats, relational.vertex_deviation, lambda x: relational.unique_names(meta, x), relational.natural_names, relational.duplicate_names, relational.distinct_chokes, relational.semantic_counters, relational.digest):
         f(r).collect()
         assert f(r.limit(0)).count() == 0
     assert relational.start_clocks(meta).count() == 1 and relational.center_bases(meta, r).count() == 1
     assert relational.replay_files(meta).count() == 2
     assert {x["map_key"] for x in relational.first_per_key(meta).collect()} == {"a", "b"}
-    assert relational.select_maps(meta, "b").count() == 2 and relational.select_maps(meta, "").count() == 3
+    assert relational.select_maps(meta, "b").count() == 1 and relational.select_maps(meta, "").count() == 2
+
+
+def test_selection_goes_by_ascii_slugs(spark):
+    rows = [(1, "b.rep", "투혼 1.3", "x"), (2, "a.rep", "투혼 1.3", "x"), (3, "c.rep", "투혼", "Fighting Spirit"), (4, "0.rep", "투혼", None), (5, "d.rep", "Fighting Spirit", "other"), (6, "e.rep", None, "FIGHTING  spirit"), (7, "f.rep", "Ånd", "Fighting Spirit"), (6, "e.rep", None, "FIGHTING  spirit")]
+    meta = spark.createDataFrame(rows, "replay_id long, replay_path string, map_name string, map_data_name string")
+    got = {r["map_key"]: (r["replay_id"], r["uploads"]) for r in relational.first_per_key(meta).collect()}
+    assert got == {"1-3": (2, 2), "fighting-spirit": (3, 3), "nd": (7, 1)}  # a name of Korean letters alone falls back; without either there is no key
+    pick = lambda s: {r["map_key"]: r["replay_id"] for r in relational.select_maps(meta, s).collect()}
+    assert pick("Fighting Spirit!") == {"fighting-spirit": 3, "nd": 7} and pick("1 3") == {"1-3": 2} and pick("zz") == {} and len(pick("투혼")) == 3
 
 
 def test_sinks(spark, tmp_path):

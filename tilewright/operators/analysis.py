@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tilewright import constants as K
 from tilewright.operators import cluster, outline, regions, terrain
-from tilewright.session import collect_bounded
 
 TILES = 65_536  # tiles of a tileset are 16-bit numbers: at most so many rows of 16 minitiles each and folder
 
@@ -142,32 +141,39 @@ OUT_SQL = f"map_id long, map_name string, tileset_key string, starting_locations
 
 
 def tile_tables(attributes: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Folder -> (feature, elevation) by [tile, minitile]: a dimension bounded by the 16-bit tile numbers."""
-    rows = collect_bounded(attributes.select("folder", "tile_id", "mini", "feat", "elev"), TILES * 16, "tile attributes")
+    """Folder -> (feature, elevation) by [tile, minitile], of the folders that a tileset key can name.
+
+    Bounded by the 16-bit tile numbers: eight folders of TILES x 16 rows, in columns. Rows said twice count once.
+    """
+    known = attributes.where(F.col("folder").isin(*K.DIRECT_FOLDERS) & F.col("tile_id").between(0, TILES - 1) & F.col("mini").between(0, 15))
+    t = known.groupBy("folder", "tile_id", "mini").agg(F.max(F.coalesce("feat", F.lit(0))).alias("feat"), F.max(F.coalesce("elev", F.lit(0))).alias("elev")).toArrow()
+    folder = np.array(t.column("folder").to_pylist(), dtype=object)
+    tile, mini, feat, elev = (t.column(c).to_numpy() for c in ("tile_id", "mini", "feat", "elev"))
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for folder in {r["folder"] for r in rows if r["folder"] is not None}:
-        mine = [r for r in rows if r["folder"] == folder and r["tile_id"] is not None and r["mini"] is not None]
-        n = max((r["tile_id"] for r in mine), default=-1) + 1
-        feat, elev = np.zeros((n, 16), dtype=np.uint8), np.zeros((n, 16), dtype=np.uint8)
-        for r in mine:
-            feat[r["tile_id"], r["mini"]], elev[r["tile_id"], r["mini"]] = r["feat"] or 0, r["elev"] or 0
-        out[folder] = feat, elev
+    for name in sorted(set(folder)):
+        mine = folder == name
+        table = np.zeros((2, int(tile[mine].max()) + 1, 16), dtype=np.uint8)
+        table[:, tile[mine], mini[mine]] = feat[mine], elev[mine]
+        out[name] = table[0], table[1]
     return out
 
 
+MAPS = 32  # maps to a task, beyond four tasks a core
+
+
 def per_map(maps: DataFrame, attributes: DataFrame, kernel, columns: list[str], sql: str, schema: pa.Schema) -> DataFrame:
-    """``kernel(row dict, feat, elev) -> iterable of row dicts`` over maps; each map is a task's unit, spread over all tasks."""
+    """``kernel(row dict, tables) -> iterable of row dicts`` over maps; each map is a task's unit, spread over all tasks."""
     shared = maps.sparkSession.sparkContext.broadcast(tile_tables(attributes))
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                rows = list(kernel(row, shared.value))
+            for k in range(b.num_rows):  # a map at a time: its tiles as they lie, no row is built from all
+                rows = list(kernel(b.slice(k, 1).to_pylist()[0], shared.value))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    # a number of its own keeps the adaptive planner from merging the few bytes of many maps into one task
-    conf = maps.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    tasks = max(4 * maps.sparkSession.sparkContext.defaultParallelism, int(conf))
+    # the number follows the maps; one of its own keeps the adaptive planner from merging the few bytes of many maps
+    n = maps.select(columns[0]).count()
+    tasks = max(1, min(n, max(4 * maps.sparkSession.sparkContext.defaultParallelism, -(-n // MAPS))))
     return maps.select(*columns).repartition(tasks, F.col(columns[0])).mapInArrow(run, sql)
 
 

@@ -14,12 +14,25 @@ from pyspark.sql import functions as F
 from tilewright import constants as K
 from tilewright.functions import scalar as S
 from tilewright.operators.nested import once
+from tilewright.session import cut
 
 
 def entries(results: DataFrame) -> DataFrame:
-    """(map_key, result_id) of the cached results: the last stored result of a key wins; empty keys are left out."""
+    """(map_key, result_id, first_id, first_at) of the cached results; empty keys are left out.
+
+    Of several results of a key the last stored one answers exact requests (``result_id``), the first one fuzzy requests
+    (``first_id``), since that list keeps all and the first of equal scores wins.
+    """
     k = results.select(S.map_key(F.col("map_name")).alias("map_key"), "result_id", "analyzed_at").where("map_key <> ''")
-    return k.groupBy("map_key").agg(F.max(F.struct("analyzed_at", "result_id")).alias("m")).select("map_key", F.col("m.result_id").alias("result_id"))
+    at = F.struct("analyzed_at", "result_id")
+    return k.groupBy("map_key").agg(F.max(at).alias("m"), F.min(at).alias("f")).select("map_key", F.col("m.result_id").alias("result_id"), F.col("f.result_id").alias("first_id"), F.col("f.analyzed_at").alias("first_at"))
+
+
+def _ordered(cache: DataFrame) -> DataFrame:
+    """A store without first entries has one per key."""
+    if "first_id" in cache.columns:
+        return cache.select("map_key", "result_id", "first_id", "first_at")
+    return cache.select("map_key", "result_id", F.col("result_id").alias("first_id"), F.lit(None).cast("timestamp_ntz").alias("first_at"))
 
 
 def _most_edits(longest, least: float):
@@ -66,26 +79,37 @@ def fuzzy_pairs(requests: DataFrame, cached: DataFrame, least: float = K.FUZZY)
 def lookup(requests: DataFrame, cache: DataFrame, dynamic: DataFrame | None = None, least: float = K.FUZZY) -> DataFrame:
     """(req_key, result_id, how, score): dynamic entries before embedded ones, exact before fuzzy, the best score first.
 
-    ``cache`` and ``dynamic``: (map_key, result_id). Equal scores go to the embedded entry, then to the smaller key.
+    ``cache`` and ``dynamic``: (map_key, result_id), and the first entries as ``entries`` gives them. Equal scores go to the
+    embedded entry, then to the one stored first.
     """
-    every = cache.withColumn("source", F.lit(1))
+    every = _ordered(cache).withColumn("source", F.lit(1))
     if dynamic is not None:
-        every = every.unionByName(dynamic.withColumn("source", F.lit(0)))
+        every = every.unionByName(_ordered(dynamic).withColumn("source", F.lit(0)))
     keys = requests.select("req_key").where("req_key <> ''").distinct()
     exact = keys.join(every, keys.req_key == every.map_key).groupBy("req_key").agg(F.min(F.struct("source", "result_id")).alias("m")).select("req_key", F.col("m.result_id").alias("result_id"), F.lit("exact").alias("how"), F.lit(1.0).alias("score"))
     open_ = keys.join(exact, "req_key", "left_anti")
     near = fuzzy_pairs(open_, every.select("map_key").distinct(), least).join(every, "map_key")
-    w = Window.partitionBy("req_key").orderBy(F.desc("score"), F.desc("source"), "map_key")
-    fuzzy = near.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("req_key", "result_id", F.lit("fuzzy").alias("how"), "score")
+    w = Window.partitionBy("req_key").orderBy(F.desc("score"), F.desc("source"), "first_at", "first_id", "map_key")
+    fuzzy = near.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("req_key", F.col("first_id").alias("result_id"), F.lit("fuzzy").alias("how"), "score")
     hits = exact.unionByName(fuzzy)
     return keys.join(hits, "req_key", "left").select("req_key", "result_id", F.coalesce("how", F.lit("miss")).alias("how"), F.round("score", 6).alias("score"))
 
 
-def analyse_missing(requests: DataFrame, cache: DataFrame, compute) -> DataFrame:
-    """Answer requests from the cache and compute only the misses; ``compute`` takes the missing keys, returns (req_key, result_id)."""
-    found = lookup(requests, cache)
-    misses = found.where("how = 'miss'").select("req_key")
-    return found.where("how <> 'miss'").select("req_key", "result_id").unionByName(compute(misses).select("req_key", "result_id"))
+def analyse(requests: DataFrame, cache: DataFrame, dynamic: DataFrame | None, compute) -> tuple[DataFrame, DataFrame]:
+    """(answers, store): requests answered from the stores, what is missing computed, and the dynamic store with it.
+
+    ``requests(req_key, replay_id)``: the name asked for and the upload to analyse if no store knows it. ``compute`` takes the
+    missing (req_key, replay_id), one row a key (the smallest replay_id), and returns (map_key, result_id) of what could be
+    analysed; the key stored is the result's own. Answers: req_key, result_id, how (exact, fuzzy, computed or miss).
+    """
+    known = lookup(requests, cache, dynamic)
+    misses = requests.where("req_key <> ''").groupBy("req_key").agg(F.min("replay_id").alias("replay_id")).join(known.where("how = 'miss'").select("req_key"), "req_key", "left_semi")
+    new = cut(compute(misses).select("map_key", "result_id"))
+    fresh = new.groupBy("map_key").agg(F.max("result_id").alias("result_id"))
+    store = fresh if dynamic is None else dynamic.select("map_key", "result_id").join(fresh, "map_key", "left_anti").unionByName(fresh)
+    got = known.join(fresh.select(F.col("map_key").alias("req_key"), F.col("result_id").alias("new_id")), "req_key", "left")
+    how = F.when((F.col("how") == "miss") & F.col("new_id").isNotNull(), "computed").otherwise(F.col("how"))
+    return got.select("req_key", F.coalesce("result_id", "new_id").alias("result_id"), how.alias("how")), store
 
 
 def golden_check(golden: DataFrame, current: DataFrame) -> DataFrame:
@@ -101,4 +125,4 @@ def golden_check(golden: DataFrame, current: DataFrame) -> DataFrame:
     return R.compare(one(flat(golden)), one(flat(current)))
 
 
-__all__ = ["analyse_missing", "entries", "fuzzy_pairs", "golden_check", "lookup", "once"]
+__all__ = ["analyse", "entries", "fuzzy_pairs", "golden_check", "lookup", "once"]

@@ -25,7 +25,7 @@ def maps(grids: DataFrame, catalog: DataFrame, metadata: DataFrame) -> DataFrame
     names = g.select("map_name", "width_tiles", "height_tiles")
     usable = metadata.where("mineral_fields is not null and start_locations is not null").select("map_name", "width_tiles", "height_tiles", "replay_id", "mineral_fields", "geysers", "start_locations")
     first = (
-        usable.join(F.broadcast(names), ["map_name", "width_tiles", "height_tiles"], "left_semi")
+        usable.join(names, ["map_name", "width_tiles", "height_tiles"], "left_semi")
         .groupBy("map_name", "width_tiles", "height_tiles").agg(F.min_by(F.struct("mineral_fields", "geysers", "start_locations"), F.col("replay_id")).alias("l"))
     )
     return g.join(first, ["map_name", "width_tiles", "height_tiles"], "left").select("map_id", "map_name", "tileset_key", "width_tiles", "height_tiles", "tiles", "l.mineral_fields", "l.geysers", "l.start_locations")
@@ -99,6 +99,42 @@ def largest_parts(m, a):
     return _per_grid(m, a, kernel, "cells int, corners int, simplified int")
 
 
+def parts(m, a):
+    """The connected passable parts of each map, numbered in order of their first cells: their sizes."""
+
+    def kernel(row, g):
+        _, sizes = terrain.components(g.w, g.h, g.passable)
+        return [{"part": i, "cells": int(n)} for i, n in enumerate(sizes)]
+
+    return _per_grid(m, a, kernel, "part int, cells int")
+
+
+def growth(m, a):
+    """Ground that each base reaches by walking cost within its own area: cells, starts first."""
+
+    def kernel(row, g):
+        found = cluster.detect(row["width_tiles"], row["height_tiles"], A.points(row, "mineral_fields"), A.points(row, "geysers"), A.points(row, "start_locations"))
+        found.sort(key=lambda b: not b["is_starting"])
+        t = terrain.Areas(g)
+        seeds = [terrain.nearest_cell(g.w, g.h, t.area >= 0, int(b["center_x"] / 8.0), int(b["center_y"] / 8.0)) for b in found]
+        owner = regions.grow(t, seeds, [b["is_starting"] for b in found])
+        return [{"base": b["base_id"], "is_starting": b["is_starting"], "cells": int((owner == i).sum())} for i, b in enumerate(found)]
+
+    return _per_grid(m, a, kernel, "base int, is_starting boolean, cells int")
+
+
+def middles(m, a):
+    """Share of each expansion's region that lies within the circle about the map's middle."""
+
+    def kernel(row, g):
+        found = cluster.detect(row["width_tiles"], row["height_tiles"], A.points(row, "mineral_fields"), A.points(row, "geysers"), A.points(row, "start_locations"))
+        found.sort(key=lambda b: not b["is_starting"])
+        owner, _ = regions.build(terrain.Areas(g), [(b["center_x"] / 8.0, b["center_y"] / 8.0) for b in found], [b["is_starting"] for b in found])
+        return [{"base": b["base_id"], "share": round(A.center_share(g.w, g.h, owner == i), 6)} for i, b in enumerate(found) if not b["is_starting"]]
+
+    return _per_grid(m, a, kernel, "base int, share double")
+
+
 def walks(m, a):
     """Walking distances from the passable cell nearest to the middle: cells reached, their sum, the farthest."""
 

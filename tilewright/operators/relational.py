@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tilewright import constants as K
 from tilewright.functions import scalar as S
 from tilewright.operators.nested import once
+from tilewright.session import beside
+
+LOOKUP = 100_000  # tiles whose attributes are broadcast
 
 
 def uploads_once(metadata: DataFrame) -> DataFrame:
@@ -53,20 +56,28 @@ def checked_tiles(grids: DataFrame) -> DataFrame:
     )
 
 
+def slug_key() -> Column:
+    """The map key of selection: the ASCII slug of the typed name, else of the data name; null if neither has one."""
+    return F.coalesce(F.nullif(S.ascii_slug(F.col("map_name")), F.lit("")), F.nullif(S.ascii_slug(F.col("map_data_name")), F.lit("")))
+
+
 def first_per_key(metadata: DataFrame) -> DataFrame:
-    """The first upload of each map key in order of path; the key is that of the typed name, else of the data name."""
-    key = F.coalesce(F.nullif(S.map_key(F.col("map_name")), F.lit("")), F.nullif(S.map_key(F.col("map_data_name")), F.lit("")))
+    """The first upload of each map key in order of path. Names without ASCII letters or digits fall back to the data name."""
     return (
-        metadata.select(key.alias("map_key"), "replay_path", "replay_id").where("map_key is not null")
+        metadata.select(slug_key().alias("map_key"), "replay_path", "replay_id").where("map_key is not null")
         .groupBy("map_key").agg(F.min(F.struct("replay_path", "replay_id")).alias("first"), F.count_distinct("replay_id").alias("uploads"))
         .select("map_key", "first.replay_path", "first.replay_id", "uploads")
     )
 
 
-def select_maps(metadata: DataFrame, selector: str) -> DataFrame:
-    """Uploads whose typed name's or data name's key is the selector's; every upload for an empty selector."""
-    want = S.map_key(F.lit(selector))
-    return metadata.where((want == "") | (S.map_key(F.col("map_name")) == want) | (S.map_key(F.col("map_data_name")) == want))
+def select_maps(metadata: DataFrame, selector: str = "") -> DataFrame:
+    """The first upload in order of path of each map key that a selector picks: by the key or by the data name's slug.
+
+    An empty selector picks every map. The selection is made before the first is taken.
+    """
+    want = S.ascii_slug(F.lit(selector or ""))
+    picked = metadata.where((want == "") | (slug_key() == want) | (S.ascii_slug(F.col("map_data_name")) == want))
+    return first_per_key(picked).select("map_key", "replay_path", "replay_id")
 
 
 # ---- nearest base, mineral-only, radii -------------------------------------------------------------------------------
@@ -84,7 +95,9 @@ def _with_results(metadata: DataFrame, results: DataFrame) -> DataFrame:
         lambda b: F.struct(b["name"].alias("name"), (b["center_tile"]["x"] * 8.0).alias("x"), (b["center_tile"]["y"] * 8.0).alias("y")),
     )
     r = once_with(results, "replay_id").select("result_id", "replay_id", base.alias("bases"))
-    m = uploads_once(metadata).select("replay_id", "width_tiles", "height_tiles", "geysers", "start_locations")
+    # only uploads with a result: their keys go ahead of the wide columns
+    keys = results.select("replay_id").where("replay_id is not null").distinct()
+    m = uploads_once(metadata.select("replay_id", "width_tiles", "height_tiles", "geysers", "start_locations").join(keys, "replay_id", "left_semi"))
     return r.where("replay_id is not null").join(m, "replay_id")
 
 
@@ -106,10 +119,8 @@ def mineral_only(metadata: DataFrame, results: DataFrame) -> DataFrame:
     """Bases to which no geyser belongs: a geyser belongs to its nearest base, if within reach."""
     j = _with_results(metadata, results)
     own = lambda g: _argmin(F.col("bases"), lambda c: S.distance(g["x"], g["y"], c["x"], c["y"]))
-    owners = F.transform(
-        F.filter(F.coalesce("geysers", F.array()), lambda g: g["x"].isNotNull() & g["y"].isNotNull()),
-        lambda g: F.when(own(g)["d"] <= K.GEYSER_REACH, own(g)["i"].cast("int")),
-    )
+    nearest = F.transform(F.filter(F.coalesce("geysers", F.array()), lambda g: g["x"].isNotNull() & g["y"].isNotNull()), own)
+    owners = F.transform(nearest, lambda o: F.when(o["d"] <= K.GEYSER_REACH, o["i"].cast("int")))
     return j.select("result_id", owners.alias("gas"), F.posexplode("bases").alias("base_no", "b")).select(
         "result_id", "base_no", F.col("b.name").alias("base_name"), (~F.exists("gas", lambda g: F.coalesce(g == F.col("base_no"), F.lit(False)))).alias("mineral_only")
     )
@@ -117,10 +128,13 @@ def mineral_only(metadata: DataFrame, results: DataFrame) -> DataFrame:
 
 def base_radii(results: DataFrame) -> DataFrame:
     """Half the distance to the nearest other base of the result, times the safety; null for a base alone."""
-    b = bases_of(results).where("center_tile.x is not null and center_tile.y is not null").select("result_id", "base_no", "name", (F.col("center_tile.x") * 8.0).alias("x"), (F.col("center_tile.y") * 8.0).alias("y"))
-    all_ = b.groupBy("result_id").agg(F.collect_list(F.struct("base_no", "x", "y")).alias("others"))
-    near = F.array_min(F.transform(F.filter("others", lambda o: o["base_no"] != F.col("base_no")), lambda o: S.distance(F.col("x"), F.col("y"), o["x"], o["y"]) / 2))
-    return b.join(all_, "result_id").select("result_id", "base_no", "name", F.round(near * K.RADIUS_SAFETY, 6).alias("most_radius"))
+    places = lambda c: F.transform(F.coalesce(c, F.array()), lambda b: F.struct(b["name"].alias("name"), (b["center_tile"]["x"] * 8.0).alias("x"), (b["center_tile"]["y"] * 8.0).alias("y"), b.isNull().alias("none")))
+    r = once(results).select("result_id", F.concat(places(F.col("starting_locations")), places(F.col("expansions"))).alias("bs"))
+    numbered = F.transform("bs", lambda b, i: F.struct(i.cast("int").alias("base_no"), b["name"].alias("name"), b["x"].alias("x"), b["y"].alias("y"), b["none"].alias("none")))
+    r = r.select("result_id", F.filter(numbered, lambda b: ~b["none"] & b["x"].isNotNull() & b["y"].isNotNull()).alias("bs"))
+    near = lambda b: F.array_min(F.transform(F.filter("bs", lambda o: o["base_no"] != b["base_no"]), lambda o: S.distance(b["x"], b["y"], o["x"], o["y"]) / 2))
+    rows = F.transform("bs", lambda b: F.struct(b["base_no"].alias("base_no"), b["name"].alias("name"), F.round(near(b) * K.RADIUS_SAFETY, 6).alias("most_radius")))
+    return r.select("result_id", F.explode(rows).alias("b")).select("result_id", "b.*")
 
 
 # ---- geometry of results --------------------------------------------------------------------------------------------
@@ -157,14 +171,20 @@ def start_clocks(metadata: DataFrame) -> DataFrame:
 # ---- windows and names ----------------------------------------------------------------------------------------------
 
 
-def unique_names(results: DataFrame) -> DataFrame:
-    """Names of plain expansions: by hour, row and column; the farthest of an hour is outer, repeats are numbered."""
+def unique_names(metadata: DataFrame, results: DataFrame) -> DataFrame:
+    """Names of plain expansions: by hour, row and column; the farthest of an hour is outer, repeats are numbered.
+
+    Far is far from the middle of the upload's map; where the upload or its size is unknown, from the middle of the expansions.
+    """
     b = bases_of(results).where("not is_start and kind = 'expa' and clock is not null and center_tile.x is not null and center_tile.y is not null").select("result_id", "base_no", "clock", F.col("center_tile.x").alias("x"), F.col("center_tile.y").alias("y"))
+    keys = results.select("result_id", "replay_id").where("replay_id is not null").dropDuplicates(["result_id"])
+    m = metadata.select("replay_id", "width_tiles", "height_tiles").where("width_tiles > 0 and height_tiles > 0").join(keys, "replay_id", "left_semi").dropDuplicates(["replay_id"])
+    b = b.join(keys.join(m, "replay_id").select("result_id", "width_tiles", "height_tiles"), "result_id", "left")
     hour = Window.partitionBy("result_id", "clock")
-    # the map's middle is not in the result: the middle of all its expansions stands for it
     mid = Window.partitionBy("result_id")
     far = (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))
-    n = b.withColumn("mx", (F.min("x").over(mid) + F.max("x").over(mid)) / 2).withColumn("my", (F.min("y").over(mid) + F.max("y").over(mid)) / 2).withColumn("far", far)
+    middle = lambda size, c: F.coalesce(F.col(size) * 2.0, (F.min(c).over(mid) + F.max(c).over(mid)) / 2)
+    n = b.withColumn("mx", middle("width_tiles", "x")).withColumn("my", middle("height_tiles", "y")).withColumn("far", far)
     n = n.withColumn("rank", F.row_number().over(hour.orderBy(F.desc("far"), "base_no"))).withColumn("base_name", F.concat(F.when(F.col("rank") > 1, "inner ").otherwise(""), F.lit("expa "), F.col("clock").cast("string")))
     again = F.row_number().over(Window.partitionBy("result_id", "base_name").orderBy("y", "x", "base_no"))
     n = n.withColumn("k", again)
@@ -253,7 +273,7 @@ def compare(golden: DataFrame, current: DataFrame, key: str = "map_key") -> Data
 
 
 def digest(results: DataFrame, key: str = "result_id") -> DataFrame:
-    """The Markdown section of each result: title, duplicate names, starts with naturals, expansions with their starts."""
+    """The Markdown section of each result (headings are fixed values): title, duplicate names, starts with naturals, expansions with their starts."""
     r = results.select("result_id", "map_name", "starting_locations", "expansions").dropDuplicates(["result_id"])
     starts = F.filter(F.coalesce("starting_locations", F.array()), lambda b: b.isNotNull())
     rest = F.filter(F.coalesce("expansions", F.array()), lambda b: b.isNotNull())
@@ -285,13 +305,13 @@ def digest(results: DataFrame, key: str = "result_id") -> DataFrame:
 def minitile_rows(grids: DataFrame, attributes: DataFrame) -> DataFrame:
     """Every minitile as a row: catalog_id, x, y, feat, elev. Unknown tiles are feature 0, elevation 0.
 
-    The attributes are the lookup side; 16-bit tile numbers bound it, so it is broadcast.
+    The attributes are the lookup side, broadcast while they are few.
     """
     table = F.create_map(*(F.lit(x) for kv in K.TILESET_FOLDERS.items() for x in kv))
     slug = F.regexp_replace(F.regexp_replace(F.lower("tileset_key"), "^[0-9][0-9]-", ""), "-missing-era$", "")
     t = checked_tiles(grids).where("error is null").select("catalog_id", "width_tiles", "height_tiles", F.element_at(table, slug).alias("folder"), F.posexplode("tiles").alias("i", "tile_id"))
     minis = attributes.groupBy("folder", "tile_id").agg(F.map_from_entries(F.collect_list(F.struct("mini", F.struct("feat", "elev")))).alias("m"))
-    j = t.join(F.broadcast(minis), ["folder", "tile_id"], "left")
+    j = t.join(beside(minis, LOOKUP), ["folder", "tile_id"], "left")
     e = j.select("catalog_id", "width_tiles", "height_tiles", "i", "m", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
     return e.select(
         "catalog_id", (F.col("width_tiles") * 4).alias("w"), (F.col("height_tiles") * 4).alias("h"),
@@ -325,7 +345,7 @@ def box_downsample(grids: DataFrame, most: int = 64) -> DataFrame:
 
 
 def area_pairs(grids: DataFrame) -> DataFrame:
-    """Neighbouring tile numbers: how often each unordered pair meets along rows, and its widest run; a histogram by pair."""
+    """Neighbouring tile numbers: how often each unordered pair meets along rows; a histogram by pair."""
     g = checked_tiles(grids).where("error is null").select("catalog_id", "width_tiles", F.posexplode("tiles").alias("i", "t"))
     nxt = F.lead("t").over(Window.partitionBy("catalog_id", F.expr("i div width_tiles")).orderBy("i"))
     p = g.withColumn("n", nxt).where("n is not null and n <> t").select("catalog_id", F.least("t", "n").alias("a"), F.greatest("t", "n").alias("b"))

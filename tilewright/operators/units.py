@@ -1,14 +1,17 @@
 """Unit sprites as joins: names and ids to sprites, anchors, the chain of game tables, siblings that share a picture.
 
-The dimensions (names, anchors, game tables) are inputs; they are small and bounded by 16-bit ids.
+The dimensions (names, anchors, game tables) are inputs, broadcast while they keep within 16-bit ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import scalar as S
+from tilewright.session import beside
+
+IDS = 65_536  # rows of a dimension that is broadcast: 16-bit ids
 
 
 def resolve(requests: DataFrame, names: DataFrame) -> DataFrame:
@@ -22,7 +25,7 @@ def resolve(requests: DataFrame, names: DataFrame) -> DataFrame:
     raw = F.trim("name")
     digits = raw.rlike("^[0-9]+$")
     r = requests.select("name", raw.alias("raw"), S.unit_key(F.col("name")).alias("key"), F.when(digits & (F.length(raw) <= 9), raw.cast("int")).alias("number"), digits.alias("digits"))
-    j = r.join(F.broadcast(by_name), "key", "left").join(F.broadcast(by_id), F.col("number") == F.col("by_id"), "left")
+    j = r.join(beside(by_name, IDS), "key", "left").join(beside(by_id, IDS), F.col("number") == F.col("by_id"), "left")
     unit = F.when(F.col("digits"), F.col("by_id")).otherwise(F.col("by_name"))
     error = F.when(F.coalesce("raw", F.lit("")) == "", "name is empty").when(unit.isNull() & F.col("digits"), "no sprite for this id").when(unit.isNull(), "unknown name")
     return j.select("name", unit.alias("unit_id"), error.alias("error"))
@@ -37,12 +40,12 @@ def sprite_keys(units: DataFrame) -> DataFrame:
 
 def anchors(units: DataFrame, table: DataFrame) -> DataFrame:
     """Anchor of each sprite from ``table(anchor_key, anchor_x, anchor_y)``; null where there is none."""
-    return sprite_keys(units).join(F.broadcast(table), "anchor_key", "left")
+    return sprite_keys(units).join(beside(table, IDS), "anchor_key", "left")
 
 
 def unit_images(units: DataFrame, flingies: DataFrame, sprites: DataFrame) -> DataFrame:
     """Unit -> flingy -> sprite -> image: ``units(unit, flingy)``, ``flingies(flingy, sprite)``, ``sprites(sprite, image)``."""
-    return units.join(F.broadcast(flingies), "flingy").join(F.broadcast(sprites), "sprite").select("unit", "image")
+    return units.join(beside(flingies, IDS), "flingy").join(beside(sprites, IDS), "sprite").select("unit", "image")
 
 
 def with_siblings(wanted: DataFrame, images: DataFrame, available: DataFrame) -> DataFrame:
@@ -50,7 +53,8 @@ def with_siblings(wanted: DataFrame, images: DataFrame, available: DataFrame) ->
 
     ``images(image, grp_name)``; ``available(image)`` have an animation. Picture names are compared whatever their case.
     """
-    i = images.select("image", F.lower("grp_name").alias("grp"))
-    have = i.join(available.select("image").distinct(), "image").select(F.col("image").alias("source"), "grp")
-    w = Window.partitionBy("image").orderBy(F.desc(F.col("source") == F.col("image")), F.col("source").asc_nulls_last())
-    return wanted.select("image").distinct().join(i, "image").join(have, "grp", "left").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("image", "source")
+    i = images.select("image", F.lower("grp_name").alias("grp")).distinct()
+    have = available.select(F.col("image").alias("own")).distinct()
+    lowest = i.join(have, F.col("image") == F.col("own"), "left_semi").groupBy("grp").agg(F.min("image").alias("sibling"))
+    w = wanted.select("image").distinct().join(i, "image").join(have, F.col("image") == F.col("own"), "left").join(beside(lowest, IDS), "grp", "left")
+    return w.groupBy("image").agg(F.coalesce(F.min("own"), F.min("sibling")).alias("source"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import scalar as S
 from tilewright.operators import analysis, cache, maps, raster, relational
-from tilewright.plans.reference import _BASES, _KEY, _MINI
+from tilewright.plans.reference import _BASES, _CHARS, _EDITS, _KEY, _MINI
 from tilewright.session import table
 from tilewright.streaming import zones
 
@@ -37,7 +37,7 @@ def _kernel(name, f):
 
 for _name, _f in (
     ("altitude", maps.altitudes), ("watershed", maps.areas), ("regions_chokes", maps.chokes), ("outline", maps.largest_parts), ("grid_bfs", maps.walks),
-    ("naturals", maps.natural_links), ("analyze", analysis.analyze), ("tile_render", maps.render), ("tile_jpeg", maps.render_jpeg), ("base_overlay", maps.overlay), ("qoi_roundtrip", maps.qoi_round_trip),
+    ("naturals", maps.natural_links), ("components", maps.parts), ("dijkstra_grow", maps.growth), ("center_overlap", maps.middles), ("analyze", analysis.analyze), ("tile_render", maps.render), ("tile_jpeg", maps.render_jpeg), ("base_overlay", maps.overlay), ("qoi_roundtrip", maps.qoi_round_trip),
 ):
     _kernel(_name, _f)
 
@@ -82,14 +82,24 @@ def cache_exact(spark, d):
     return q.join(cache.entries(table(spark, d, "map_results")), F.col("req_key") == F.col("map_key")).select("req_key", "result_id")
 
 
-@query()
+_STORE = f"""e AS (SELECT {_KEY.format('map_name')} AS map_key, result_id, analyzed_at FROM map_results),
+k AS (SELECT map_key, {_CHARS.format('map_key')} AS ck, arg_max(result_id, (analyzed_at, result_id)) AS result_id, arg_min(result_id, (analyzed_at, result_id)) AS first_id, min(analyzed_at) AS first_at FROM e WHERE map_key <> '' GROUP BY map_key)"""
+_NEAR = f"""l AS (SELECT *, greatest(len(cr), len(ck)) AS longest FROM {{0}} q JOIN k ON least(len(cr), len(ck)) >= 0.82 * greatest(len(cr), len(ck)) - 1e-9 AND req_key <> map_key),
+s AS (SELECT *, 1.0::DOUBLE - ({_EDITS.format(a='cr', b='ck')}) / longest::DOUBLE AS score FROM l)"""
+
+
+@query(f"""WITH {_STORE}, q AS (SELECT DISTINCT {_KEY.format('map_name')} AS req_key FROM map_metadata), r AS (SELECT req_key, {_CHARS.format('req_key')} AS cr FROM q WHERE req_key <> ''),
+x AS (SELECT req_key, result_id FROM r JOIN k ON map_key = req_key), o AS (SELECT * FROM r WHERE req_key NOT IN (SELECT req_key FROM x)), {_NEAR.replace('{0}', 'o')},
+n AS (SELECT req_key, first_id, score, row_number() OVER (PARTITION BY req_key ORDER BY score DESC, first_at, first_id, map_key) AS rn FROM s WHERE score >= 0.82)
+SELECT r.req_key, coalesce(x.result_id, n.first_id) AS result_id, CASE WHEN x.result_id IS NOT NULL THEN 'exact' WHEN n.first_id IS NOT NULL THEN 'fuzzy' ELSE 'miss' END AS how, round(CASE WHEN x.result_id IS NOT NULL THEN 1.0 ELSE n.score END, 6) AS score
+FROM r LEFT JOIN x USING (req_key) LEFT JOIN n ON n.req_key = r.req_key AND rn = 1""")
 def cache_lookup(spark, d):
-    """Every map key asked for: exact hit, fuzzy hit or miss. Character edits; the tests compare with brute force."""
+    """Every map key asked for: exact hit, fuzzy hit or miss."""
     q = table(spark, d, "map_metadata").select(S.map_key(F.col("map_name")).alias("req_key"))
     return cache.lookup(q, cache.entries(table(spark, d, "map_results")))
 
 
-@query()
+@query(f"""WITH {_STORE}, r AS (SELECT map_key AS req_key, ck AS cr FROM k), {_NEAR.replace('{0}', 'r')} SELECT req_key, map_key, score FROM s WHERE score >= 0.82""")
 def fuzzy_lookup(spark, d):
     """Pairs of cached keys alike enough to answer for each other."""
     k = cache.entries(table(spark, d, "map_results"))
@@ -105,7 +115,12 @@ def golden_compare(spark, d):
     return cache.golden_check(r.where(early), r.where(~early))
 
 
-@query()
+@query(f"""WITH {_BASES}, p AS (SELECT result_id, base_no, list_filter(v, lambda q: q IS NOT NULL) AS v FROM b), g AS (SELECT result_id, base_no, v, list_min(list_transform(v, lambda q: q.x)) AS x0, list_max(list_transform(v, lambda q: q.x)) AS x1, list_min(list_transform(v, lambda q: q.y)) AS y0, list_max(list_transform(v, lambda q: q.y)) AS y1 FROM p WHERE len(v) >= 3),
+e AS (SELECT result_id, base_no, x0, x1, y0, y1, unnest(v) AS a, v[generate_subscripts(v, 1) % len(v) + 1] AS q FROM g), w AS (SELECT *, unnest(range(y0, y1 + 1)) + 0.5::DOUBLE AS py FROM e),
+c AS (SELECT *, (q.x - a.x) * (py - a.y) / (q.y - a.y)::DOUBLE + a.x AS cx FROM w WHERE (a.y > py) <> (q.y > py)),
+n AS (SELECT result_id, base_no, greatest(0, least(ceil(cx - 0.5) - x0, x1 - x0 + 1)) AS left_of, row_number() OVER (PARTITION BY result_id, base_no, py ORDER BY cx DESC) AS k FROM c),
+f AS (SELECT result_id, base_no, sum(CASE WHEN k % 2 = 1 THEN left_of ELSE -left_of END) AS cells FROM n GROUP BY ALL)
+SELECT g.result_id, g.base_no, round(CASE WHEN (x1 - x0) * (y1 - y0) = 0 THEN 0.0 ELSE coalesce(cells, 0) / ((x1 - x0) * (y1 - y0))::DOUBLE END, 6) AS iou FROM g LEFT JOIN f USING (result_id, base_no)""")
 def mask_iou(spark, d):
     """Overlap of each base's polygon with the box of its own vertices: how much of its box a base fills."""
     from tilewright.operators import shapes

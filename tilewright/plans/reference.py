@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import scalar as S
 from tilewright.operators import cluster as C
 from tilewright.operators import relational as R
+from tilewright.operators import units
 from tilewright.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -35,6 +36,12 @@ _KEY = r"trim(regexp_replace(lower(regexp_replace(regexp_replace({0}, '[\x00-\x1
 _SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
+#: Edits between two keys, code point by code point, as a fold of folds over lists.
+_CHARS = "regexp_extract_all({0}, '(?s).')"
+_EDITS = """list_reduce(list_transform({a}, lambda fp: {{'c': fp, 'r': []::INT[]}}), lambda fu, fe: {{'c': fe.c, 'r': list_reduce(list_transform({b}, lambda fq: {{'c': fq, 'r': []::INT[]}}),
+ lambda fv, fy: {{'c': fy.c, 'r': list_append(fv.r, least(fu.r[len(fv.r) + 1] + 1, fv.r[len(fv.r)] + 1, fu.r[len(fv.r)] + CASE WHEN fy.c = fe.c THEN 0 ELSE 1 END)::INT)}}, {{'c': '', 'r': [(fu.r[1] + 1)::INT]}}).r}}, {{'c': '', 'r': range(0, len({b}) + 1)::INT[]}}).r[-1]"""
+
+
 # ---- scalars --------------------------------------------------------------------------------------------------------
 
 
@@ -60,9 +67,11 @@ def tileset_key(spark, d):
     return m.select("replay_id", S.tileset_key(F.col("tileset"), F.col("tileset_name"), F.col("tile_set_missing")).alias("own_key"), S.tileset_folder(F.col("tileset_key")).alias("folder"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT replay_id, {_KEY.format('map_name')} AS a, {_KEY.format('map_data_name')} AS b FROM map_metadata), p AS (SELECT DISTINCT a, b, {_CHARS.format('a')} AS ca, {_CHARS.format('b')} AS cb FROM k WHERE a <> '' AND b <> '' AND a <> b),
+e AS (SELECT a, b, {_EDITS.format(a='ca', b='cb')} AS n, greatest(len(ca), len(cb)) AS longest FROM p)
+SELECT replay_id, round(CASE WHEN k.a = '' OR k.b = '' THEN 0.0 WHEN k.a = k.b THEN 1.0 ELSE 1.0 - n / longest::DOUBLE END, 6) AS similarity FROM k LEFT JOIN e ON e.a = k.a AND e.b = k.b""")
 def name_similarity(spark, d):
-    """Likeness of the typed name and the name in the file; characters count, where SQL engines count bytes."""
+    """Likeness of the typed name and the name in the file, by characters."""
     m = table(spark, d, "map_metadata").select("replay_id", S.map_key(F.col("map_name")).alias("a"), S.map_key(F.col("map_data_name")).alias("b"))
     return m.select("replay_id", F.round(S.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
@@ -111,15 +120,17 @@ def checked_tiles(spark, d):
     return R.checked_tiles(table(spark, d, "map_grids"))
 
 
-@query(f"""WITH k AS (SELECT coalesce(nullif({_KEY.format('map_name')}, ''), nullif({_KEY.format('map_data_name')}, '')) AS map_key, replay_path, replay_id FROM map_metadata)
-SELECT map_key, arg_min(replay_path, (replay_path, replay_id)) AS replay_path, arg_min(replay_id, (replay_path, replay_id)) AS replay_id, count(DISTINCT replay_id) AS uploads FROM k WHERE map_key IS NOT NULL GROUP BY map_key""")
+_SELECT = f"WITH k AS (SELECT coalesce(nullif({_SLUG.format('map_name')}, ''), nullif({_SLUG.format('map_data_name')}, '')) AS map_key, {_SLUG.format('map_data_name')} AS data_key, replay_path, replay_id FROM map_metadata)"
+
+
+@query(f"""{_SELECT} SELECT map_key, arg_min(replay_path, (replay_path, replay_id)) AS replay_path, arg_min(replay_id, (replay_path, replay_id)) AS replay_id, count(DISTINCT replay_id) AS uploads FROM k WHERE map_key IS NOT NULL GROUP BY map_key""")
 def corpus_dedupe(spark, d):
     return R.first_per_key(table(spark, d, "map_metadata"))
 
 
-@query(f"""SELECT DISTINCT replay_id FROM map_metadata WHERE {_KEY.format('map_name')} = 'wandering-refinery' OR {_KEY.format('map_data_name')} = 'wandering-refinery'""")
+@query(f"""{_SELECT} SELECT map_key, arg_min(replay_path, (replay_path, replay_id)) AS replay_path, arg_min(replay_id, (replay_path, replay_id)) AS replay_id FROM k WHERE map_key IS NOT NULL AND (map_key = 'wandering-refinery' OR data_key = 'wandering-refinery') GROUP BY map_key""")
 def select_maps(spark, d):
-    return R.select_maps(table(spark, d, "map_metadata"), "Wandering Refinery").select("replay_id").distinct()
+    return R.select_maps(table(spark, d, "map_metadata"), "Wandering Refinery")
 
 
 # ---- nearest, radii, names ------------------------------------------------------------------------------------------
@@ -153,14 +164,15 @@ def base_radii(spark, d):
     return R.base_radii(table(spark, d, "map_results"))
 
 
-@query(f"""WITH {_BASES}, p AS (SELECT result_id, base_no, clock, c.x AS x, c.y AS y FROM b WHERE NOT is_start AND kind = 'expa' AND clock IS NOT NULL AND c.x IS NOT NULL AND c.y IS NOT NULL),
-f AS (SELECT *, (min(x) OVER w + max(x) OVER w) / 2.0 AS mx, (min(y) OVER w + max(y) OVER w) / 2.0 AS my FROM p WINDOW w AS (PARTITION BY result_id)),
+@query(f"""WITH {_BASES}, {_UPLOADS}, p AS (SELECT result_id, base_no, clock, c.x AS x, c.y AS y, m.w AS w0, m.h AS h0 FROM b LEFT JOIN m ON m.replay_id = b.replay_id AND m.w > 0 AND m.h > 0
+ WHERE NOT is_start AND kind = 'expa' AND clock IS NOT NULL AND c.x IS NOT NULL AND c.y IS NOT NULL),
+f AS (SELECT *, coalesce(w0 * 2.0, (min(x) OVER w + max(x) OVER w) / 2.0) AS mx, coalesce(h0 * 2.0, (min(y) OVER w + max(y) OVER w) / 2.0) AS my FROM p WINDOW w AS (PARTITION BY result_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY result_id, clock ORDER BY (x - mx) * (x - mx) + (y - my) * (y - my) DESC, base_no) AS rank, count(*) OVER (PARTITION BY result_id, clock) > 1 AS hour_shared FROM f),
 n AS (SELECT *, CASE WHEN rank > 1 THEN 'inner ' ELSE '' END || 'expa ' || clock AS base_name FROM k),
 u AS (SELECT *, row_number() OVER (PARTITION BY result_id, base_name ORDER BY y, x, base_no) AS again FROM n)
 SELECT result_id, base_no, base_name || CASE WHEN again > 1 THEN ' (' || again || ')' ELSE '' END AS unique_name, hour_shared FROM u""")
 def unique_names(spark, d):
-    return R.unique_names(table(spark, d, "map_results"))
+    return R.unique_names(table(spark, d, "map_metadata"), table(spark, d, "map_results"))
 
 
 @query(f"""WITH {_BASES}, s AS (SELECT result_id, nat AS name, list_sort(list_distinct(list(clock) FILTER (clock IS NOT NULL))) AS h FROM b WHERE is_start AND nat IS NOT NULL AND nat <> '' GROUP BY result_id, nat)
@@ -294,3 +306,53 @@ def base_centroids(spark, d):
     return R.bases_of(table(spark, d, "map_results")).groupBy("result_id").agg(
         F.count("*").alias("bases"), F.count_if("is_start").alias("starts"), F.avg("center_tile.x").alias("mean_x"), F.avg("center_tile.y").alias("mean_y"), F.min("center_tile.x").alias("min_x"), F.max("center_tile.x").alias("max_x")
     )
+
+
+@query()
+def param_search(spark, d):
+    """The parameters of the tree cuts that score best on each upload, with the number of clusters and the score."""
+    p = C.point_labels(R.uploads_once(table(spark, d, "map_metadata")))
+    return p.groupBy("replay_id").agg(F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), F.first("clusters").alias("clusters"), F.round(F.first("score"), 6).alias("score"), F.count("*").alias("points"))
+
+
+# ---- unit joins, over tables that stand for the game's ---------------------------------------------------------------
+
+
+@query(r"""WITH q AS (SELECT DISTINCT map_name AS name FROM map_metadata UNION SELECT catalog_id::VARCHAR FROM map_grids), n AS (SELECT trim(regexp_replace(lower(canonical_name), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS key, min(catalog_id) AS by_name FROM map_catalog GROUP BY 1 HAVING key <> ''),
+k AS (SELECT name, trim(name, ' ') AS raw, trim(regexp_replace(lower(name), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS key, regexp_full_match(trim(name, ' '), '[0-9]+') AS digits FROM q),
+j AS (SELECT k.*, by_name, c.catalog_id AS by_id FROM k LEFT JOIN n USING (key) LEFT JOIN (SELECT DISTINCT catalog_id FROM map_catalog) c ON k.digits AND length(raw) <= 9 AND try_cast(raw AS BIGINT) = c.catalog_id),
+u AS (SELECT *, CASE WHEN digits THEN by_id ELSE by_name END AS unit_id FROM j)
+SELECT name, unit_id, CASE WHEN coalesce(raw, '') = '' THEN 'name is empty' WHEN unit_id IS NULL AND digits THEN 'no sprite for this id' WHEN unit_id IS NULL THEN 'unknown name' END AS error FROM u""")
+def unit_resolve(spark, d):
+    """Names and decimal ids to the ids of a list; catalog maps stand for units."""
+    asked = table(spark, d, "map_metadata").select(F.col("map_name").alias("name")).union(table(spark, d, "map_grids").select(F.col("catalog_id").cast("string"))).distinct()
+    return units.resolve(asked, table(spark, d, "map_catalog").select(F.col("catalog_id").alias("unit_id"), F.col("canonical_name").alias("unit_name")))
+
+
+@query("""WITH u AS (SELECT catalog_id AS unit_id, tileset_key AS variant, max_players > 2 AS shadow, 'u' || catalog_id || CASE WHEN coalesce(tileset_key, '') <> '' THEN '_' || tileset_key ELSE '' END AS sprite FROM map_catalog),
+k AS (SELECT *, sprite || CASE WHEN shadow THEN '.shadow' ELSE '' END AS anchor_key FROM u), a AS (SELECT 'u' || catalog_id || '_' || tileset_key || CASE WHEN catalog_id % 2 = 0 THEN '.shadow' ELSE '' END AS anchor_key, width_tiles AS anchor_x, height_tiles AS anchor_y FROM map_grids)
+SELECT k.unit_id, k.sprite, k.anchor_key, a.anchor_x, a.anchor_y FROM k LEFT JOIN a USING (anchor_key)""")
+def unit_anchors(spark, d):
+    """Sprite keys and anchors; catalog maps stand for units, grids for the table of anchors."""
+    u = table(spark, d, "map_catalog").select(F.col("catalog_id").alias("unit_id"), F.col("tileset_key").alias("variant"), (F.col("max_players") > 2).alias("shadow"))
+    a = table(spark, d, "map_grids").select(
+        F.concat(F.lit("u"), F.col("catalog_id"), F.lit("_"), F.col("tileset_key"), F.when(F.col("catalog_id") % 2 == 0, ".shadow").otherwise("")).alias("anchor_key"), F.col("width_tiles").alias("anchor_x"), F.col("height_tiles").alias("anchor_y")
+    )
+    return units.anchors(u, a).select("unit_id", "sprite", "anchor_key", "anchor_x", "anchor_y")
+
+
+@query("SELECT c_custkey AS unit, r_regionkey AS image FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def unit_images(spark, d):
+    """The chain of three tables from unit to image; customers, nations and regions stand for the game's."""
+    u = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("flingy"))
+    f = table(spark, d, "nation").select(F.col("n_nationkey").alias("flingy"), F.col("n_regionkey").alias("sprite"))
+    return units.unit_images(u, f, table(spark, d, "region").select(F.col("r_regionkey").alias("sprite"), F.col("r_regionkey").alias("image")))
+
+
+@query("""WITH i AS (SELECT p_partkey AS image, lower(p_brand) AS grp, p_size % 7 = 0 AS has FROM part), l AS (SELECT grp, min(image) AS sibling FROM i WHERE has GROUP BY grp)
+SELECT image, CASE WHEN has THEN image ELSE sibling END AS source FROM i LEFT JOIN l USING (grp)""")
+def sibling_sprites(spark, d):
+    """The image whose animation each image uses: its own, or that of the lowest of its group that has one; parts stand for images."""
+    p = table(spark, d, "part")
+    images = p.select(F.col("p_partkey").alias("image"), F.col("p_brand").alias("grp_name"))
+    return units.with_siblings(images, images, p.where("p_size % 7 = 0").select(F.col("p_partkey").alias("image")))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tilewright", cores: str | None = None) -> SparkSession:
@@ -67,6 +68,11 @@ def collect_at_most(df: DataFrame, bound: int) -> list | None:
     return rows if len(rows) <= bound else None
 
 
+def beside(df: DataFrame, bound: int) -> DataFrame:
+    """A lookup side for a join: broadcast if it has at most ``bound`` rows, else left to the planner."""
+    return F.broadcast(df) if small_enough(df, bound) else df
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a scan over all cores where its files make fewer splits than that; large inputs pass unchanged.
 
