@@ -178,6 +178,18 @@ def test_anim_container():
     assert a["size"] == (4, 4) and a["frames"][0] == {"rect": (0, 0, 4, 4), "origin": (1, 3)} and list(a["layers"]) == ["diffuse"]
     with pytest.raises(ValueError):
         binary.anim(data[:40])
+    assert binary.anim_frame(a, 0)["layers"]["diffuse"].shape == (4, 4, 4)
+    for bad in (a | {"frames": [a["frames"][0] | {"rect": (2, 0, 6, 4)}]}, a | {"frames": []}):
+        with pytest.raises(ValueError):
+            binary.anim_frame(bad, 0)
+
+
+def test_script_operands():
+    # a list of two words, a plain operation, a jump that ends the run; a cut-off operand ends it too
+    code = bytes([25, 2, 1, 0, 2, 0, 5, 9, 7, 4, 0, 5, 1])
+    assert binary.script_walk(code, 0) == [(25, [2, 1, 2]), (5, [9]), (7, [4])]
+    assert binary.script_walk(bytes([9, 1]), 0) == [] and binary.script_walk(bytes([69]), 0) == []
+    assert len(binary.SCRIPT_OPERANDS) == 69
 
 
 def test_blte():
@@ -251,7 +263,7 @@ def test_game_tables():
     script[40:44] = bytes([9, 2, 0, 255])  # imgul image 2, dx -1
     script[44] = 3
     script[45] = 22  # end
-    assert binary.script_walk(bytes(script), 40)[0] == ("imgul", [2, 255, 3])
+    assert binary.script_walk(bytes(script), 40)[0] == (binary.SCRIPT_IMAGE_BELOW, [2, 255, 3])
     table = [{"script": 3, "draw": 0}, {"script": 0, "draw": 0}, {"script": 0, "draw": 10}]
     assert binary.shadow_of(bytes(script), table, 0) == (2, -1, 3)
     assert binary.shadow_of(bytes(script), table, 1) is None

@@ -170,36 +170,53 @@ def dds(data: bytes) -> np.ndarray:
     return out.reshape(bh, bw, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(bh * 4, bw * 4, 4)[:h, :w]
 
 
+ANIM_ENTRY = np.dtype([("frames", "<u2"), ("ref", "<u2"), ("width", "<u2"), ("height", "<u2"), ("frames_at", "<u4")])
+ANIM_LAYER = np.dtype([("at", "<u4"), ("size", "<u4"), ("width", "<u2"), ("height", "<u2")])
+ANIM_FRAME = np.dtype([("x", "<u2"), ("y", "<u2"), ("dx", "<i2"), ("dy", "<i2"), ("w", "<u2"), ("h", "<u2"), ("", "V4")])
+ANIM_HEAD = np.dtype([("magic", "S4"), ("", "V8"), ("names", "S32", 10), ("entry", ANIM_ENTRY), ("layers", ANIM_LAYER, 10)])
+
+
+def records(data: bytes, kind: np.dtype, count: int, at: int, what: str) -> np.ndarray:
+    """``count`` records of a format at a place of a file."""
+    if at < 0 or count < 0 or at + count * kind.itemsize > len(data):
+        raise ValueError(f"{what}: the file ends early")
+    return np.frombuffer(data, dtype=kind, count=count, offset=at)
+
+
 def anim(data: bytes) -> dict:
     """Frames (rect, origin) and the diffuse and teamcolor layers of an ANIM container; coordinates are halved."""
-    if len(data) < 332 + 12 + 120 or data[:4] != b"ANIM":
-        raise ValueError("bad anim header")
-    names = [data[12 + i * 32 : 44 + i * 32].rstrip(b"\0").decode("latin-1") for i in range(10)]
-    count, _, wide, high, at = struct.unpack("<HHHHI", data[332:344])
-    if count == 0:
-        raise ValueError("anim entry is a reference")
-    frames = []
-    for i in range(count):
-        x, y, dx, dy, w, h = struct.unpack("<HHhhHH", data[at + i * 16 : at + i * 16 + 12])
-        # towards zero, as whole-number division of signed values
-        frames.append({"rect": (x // 2, y // 2, (x + w) // 2, (y + h) // 2), "origin": (int((wide - 2 * dx) / 4), int((high - 2 * dy) / 4))})
+    head = records(data, ANIM_HEAD, 1, 0, "anim header")[0]
+    entry, places = head["entry"], head["layers"]
+    if head["magic"] != b"ANIM" or not entry["frames"]:
+        raise ValueError("no ANIM container with frames of its own")
+    f = records(data, ANIM_FRAME, int(entry["frames"]), int(entry["frames_at"]), "anim frames")
+    f = {k: f[k].astype(int) for k in ("x", "y", "dx", "dy", "w", "h")}
+    rects = np.stack((f["x"] // 2, f["y"] // 2, (f["x"] + f["w"]) // 2, (f["y"] + f["h"]) // 2), axis=1)
+    # towards zero, as whole-number division of signed values
+    origins = np.trunc(np.stack((int(entry["width"]) - 2 * f["dx"], int(entry["height"]) - 2 * f["dy"]), axis=1) / 4).astype(int)
     layers = {}
-    for i, name in enumerate(names):
-        where, size = struct.unpack("<II", data[332 + 12 + i * 12 : 332 + 20 + i * 12])
-        if name not in ("diffuse", "teamcolor") or not where or not size:
-            continue
-        if where + size > len(data):
-            raise ValueError("anim layer out of bounds")
-        blob = data[where : where + size]
-        start = blob.find(b"DDS ")
-        if start < 0:
-            raise ValueError("anim layer is no DDS")
-        layers[name] = dds(blob[start:])
-    if "diffuse" not in layers:
-        raise ValueError("anim has no diffuse layer")
-    if "teamcolor" in layers and layers["teamcolor"].shape != layers["diffuse"].shape:
-        del layers["teamcolor"]
-    return {"size": (wide // 2, high // 2), "frames": frames, "layers": layers}
+    for name, place in zip(head["names"].tolist(), places):
+        if name in (b"diffuse", b"teamcolor") and place["at"] and place["size"]:
+            blob = records(data, np.dtype(np.uint8), int(place["size"]), int(place["at"]), "anim layer").tobytes()
+            layers[name.decode()] = dds(blob[max(blob.find(b"DDS "), 0) :])
+    if (base := layers.get("diffuse")) is None:
+        raise ValueError("an animation without a diffuse layer")
+    if layers.get("teamcolor", base).shape != base.shape:
+        layers.pop("teamcolor")
+    frames = [{"rect": tuple(r), "origin": tuple(o)} for r, o in zip(rects.tolist(), origins.tolist())]
+    return {"size": (int(entry["width"]) // 2, int(entry["height"]) // 2), "frames": frames, "layers": layers}
+
+
+def anim_frame(a: dict, number: int) -> dict:
+    """A frame of ``anim`` with its cut-outs of the layers; it must lie within the texture."""
+    if not 0 <= number < len(a["frames"]):
+        raise ValueError(f"no frame {number}")
+    f = a["frames"][number]
+    x0, y0, x1, y1 = f["rect"]
+    high, wide = a["layers"]["diffuse"].shape[:2]
+    if x0 < x1 and y0 < y1 and not (x1 <= wide and y1 <= high):
+        raise ValueError(f"frame {number} reaches beyond the texture")
+    return f | {"layers": {k: v[y0:y1, x0:x1] for k, v in a["layers"].items()}}
 
 
 SPRITE_FILE = re.compile(r"^(u(\d+)(?:_([a-z]+))?)\.qoi$")
@@ -216,14 +233,21 @@ def sprite_name(path: str) -> tuple[str, int, str] | None:
 # Numbers of rows of the game's tables.
 UNITS, FLINGIES, SPRITES, IMAGES = 228, 209, 517, 999
 DRAW_SHADOW = 10
-# Script operations in order of their codes; operands: 1 byte, 2 word, j jump (ends), v list of words, e end.
-SCRIPT_OPS = (
-    "playfram:2 playframtile:2 sethorpos:1 setvertpos:1 setpos:11 wait:1 waitrand:11 goto:j imgol:211 imgul:211 imgolorig:2 switchul:2 __0c: imgoluselo:211 imguluselo:211 sprol:211 "
-    "highsprol:211 lowsprul:211 uflunstable:2 spruluselo:211 sprul:211 sproluselo:21 end:e setflipstate:1 playsnd:2 playsndrand:v playsndbtwn:22 domissiledmg: attackmelee:v followmaingraphic: "
-    "randcondjmp:12 turnccwise:1 turncwise:1 turn1cwise: turnrand:1 setspawnframe:1 sigorder:1 attackwith:1 attack: castspell: useweapon:1 move:1 gotorepeatattk: engframe:1 engset:1 __2d: "
-    "nobrkcodestart: nobrkcodeend: ignorerest: attkshiftproj:1 tmprmgraphicstart: tmprmgraphicend: setfldirect:1 call:2 return: setflspeed:2 creategasoverlays:1 pwrupcondjmp:2 trgtrangecondjmp:22 "
-    "trgtarccondjmp:222 curdirectcondjmp:222 imgulnextid:11 __3e: liftoffcondjmp:2 warpoverlay:2 orderdone:1 grdsprol:211 __43: dogrddamage:"
-).split()
+# Widths in bytes of the operands of the script operations, by code from 0, eight to a line.
+SCRIPT_OPERANDS = [
+    (2,), (2,), (1,), (1,), (1, 1), (1,), (1, 1), (2,),
+    (2, 1, 1), (2, 1, 1), (2,), (2,), (), (2, 1, 1), (2, 1, 1), (2, 1, 1),
+    (2, 1, 1), (2, 1, 1), (2,), (2, 1, 1), (2, 1, 1), (2, 1), (), (1,),
+    (2,), (), (2, 2), (), (), (), (1, 2), (1,),
+    (1,), (), (1,), (1,), (1,), (1,), (), (),
+    (1,), (1,), (), (1,), (1,), (), (), (),
+    (), (1,), (), (), (1,), (2,), (), (2,),
+    (1,), (2,), (2, 2), (2, 2, 2), (2, 2, 2), (1, 1), (), (2,),
+    (2,), (1,), (2, 1, 1), (), (),
+]
+SCRIPT_LISTS = (25, 28)  # a count byte, then so many words
+SCRIPT_JUMP, SCRIPT_END, SCRIPT_IMAGE_BELOW = 7, 22, 9
+SCRIPT_MOST = 32  # operations looked at
 
 
 def u16(data: bytes, at: int, n: int) -> np.ndarray:
@@ -256,55 +280,42 @@ def string_table(data: bytes) -> list[str]:
     return ["", *(data[a : data.index(b"\0", a)].decode("latin-1") for a in u16(data, 2, n))]
 
 
+SCRIPT_ROW = np.dtype([("number", "<i2"), ("at", "<u2")])
+
+
 def script_start(data: bytes, script: int) -> int:
-    at = struct.unpack("<I", data[:4])[0]
-    while True:
-        number, header = struct.unpack_from("<hH", data, at)
-        if number == -1:
-            raise ValueError(f"script {script} not found")
-        if number == script:
-            start = struct.unpack_from("<H", data, header + 8)[0]
-            if not start:
-                raise ValueError("script has no init animation")
-            return start
-        at += 4
-
-
-def script_walk(data: bytes, at: int, most: int = 32) -> list[tuple[str, list[int]]]:
-    """(operation, operands) of a straight run, to a jump, an end, or ``most`` operations."""
-    out = []
-    while len(out) < most and at < len(data) and data[at] < len(SCRIPT_OPS):
-        name, kinds = SCRIPT_OPS[data[at]].split(":")
-        at, args, stop = at + 1, [], False
-        for k in kinds:
-            if k == "1":
-                args.append(data[at])
-                at += 1
-            elif k in "2j":
-                args.append(struct.unpack_from("<H", data, at)[0])
-                at += 2
-                stop |= k == "j"
-            elif k == "v":
-                at += 1 + 2 * data[at]
-            else:
-                stop = True
-        out.append((name, args))
-        if stop:
+    """Place of a script's init animation, by the table of scripts, which a negative number closes."""
+    table_at = int(records(data, np.dtype("<u4"), 1, 0, "script file")[0])
+    rows = records(data, SCRIPT_ROW, max(0, len(data) - table_at) // SCRIPT_ROW.itemsize, table_at, "script table")
+    rows = rows[: int(np.argmax(rows["number"] == -1))] if (rows["number"] == -1).any() else rows
+    at = rows["at"][rows["number"] == script]
+    start = int(records(data, np.dtype("<u2"), 1, int(at[0]) + 8, "script header")[0]) if len(at) else 0
+    if not start:
+        raise ValueError(f"no init animation of script {script}")
+    return start
+
+
+def script_walk(data: bytes, at: int, most: int = SCRIPT_MOST) -> list[tuple[int, list[int]]]:
+    """(code, operands) of a straight run: up to and with a jump or the end, or what cannot be read."""
+    out: list[tuple[int, list[int]]] = []
+    while len(out) < most and at < len(data) and (code := data[at]) < len(SCRIPT_OPERANDS):
+        widths = (1, *(2,) * data[at + 1]) if code in SCRIPT_LISTS and at + 1 < len(data) else SCRIPT_OPERANDS[code]
+        ends = np.cumsum((at + 1, *widths)).tolist()
+        if ends[-1] > len(data):
             break
+        out.append((code, [int.from_bytes(data[a:b], "little") for a, b in zip(ends, ends[1:])]))
+        at = len(data) if code in (SCRIPT_JUMP, SCRIPT_END) else ends[-1]
     return out
 
 
 def shadow_of(script: bytes, images: list[dict], image: int) -> tuple[int, int, int] | None:
     """(shadow image, dx, dy) that an image's init animation attaches below it."""
     try:
-        start = script_start(script, images[image]["script"])
+        run = script_walk(script, script_start(script, images[image]["script"]))
     except ValueError:
         return None
-    sign = lambda v: v - 256 if v > 127 else v
-    for name, args in script_walk(script, start):
-        if name == "imgul" and images[args[0]]["draw"] == DRAW_SHADOW:
-            return args[0], sign(args[1]), sign(args[2])
-    return None
+    below = [args for code, args in run if code == SCRIPT_IMAGE_BELOW and images[args[0]]["draw"] == DRAW_SHADOW]
+    return next(((n, *np.array([dx, dy], dtype=np.uint8).view(np.int8).tolist()) for n, dx, dy in below), None)
 
 
 def lo_offset(data: bytes, frame: int) -> tuple[int, int]:
@@ -317,61 +328,56 @@ def lo_offset(data: bytes, frame: int) -> tuple[int, int]:
 # ---- archives -------------------------------------------------------------------------------------------------------
 
 
+BLTE_HEAD = np.dtype([("magic", "S4"), ("size", ">u4")])
+BLTE_CHUNK = np.dtype([("packed", ">u4"), ("plain", ">u4"), ("sum", "V16")])
+INDEX_HEAD = np.dtype([("", "V8"), ("version", "<u2"), ("bucket", "u1"), ("", "V1"), ("fields", "u1", 3), ("bits", "u1"), ("", "V16"), ("size", "<u4"), ("", "V4")])
+INDEX_ENTRY = np.dtype([("key", "V9"), ("place", "u1", 5), ("size", "<u4")])
+ENCODING_HEAD = np.dtype([("magic", "S2"), ("version", "u1"), ("keys", "u1", 2), ("page_kb", ">u2", 2), ("pages", ">u4", 2), ("", "V1"), ("spec", ">u4")])
+INFLATED = 1 << 30  # bytes that a chunk of unstated size may inflate to
+
+
+def _inflate(body: bytes, size: int | None) -> bytes:
+    try:
+        return zlib.decompressobj().decompress(body, (INFLATED if size is None else size) + 1)
+    except zlib.error as e:
+        raise ValueError(f"chunk cannot be inflated: {e}") from e
+
+
 def blte(data: bytes) -> bytes:
-    """Chunks raw ("N"), deflated ("Z") or nested ("F"), with checked sizes."""
-    if len(data) < 8 or data[:4] != b"BLTE":
-        raise ValueError("not BLTE")
-    head = struct.unpack(">I", data[4:8])[0]
-    if not head:
+    """The chunks of a container, each raw ("N"), deflated ("Z") or a container again ("F"), of the sizes stated."""
+    head = records(data, BLTE_HEAD, 1, 0, "container")[0]
+    if head["magic"] != b"BLTE":
+        raise ValueError("no BLTE container")
+    body = int(head["size"])
+    if not body:  # one chunk of unstated size
         return _chunk(data[8:], None)
-    if not 12 <= head <= len(data) or data[8] != 0x0F:
-        raise ValueError("bad BLTE header")
-    count = int.from_bytes(data[9:12], "big")
-    if 12 + count * 24 > head:
-        raise ValueError("bad BLTE chunk table")
-    at, out = head, []
-    for i in range(count):
-        packed, size = struct.unpack_from(">II", data, 12 + i * 24)
-        if not packed or at + packed > len(data):
-            raise ValueError("BLTE chunk overruns")
-        out.append(_chunk(data[at : at + packed], size))
-        at += packed
-    return b"".join(out)
+    flag, *count = records(data, np.dtype("u1"), 4, 8, "chunk table").tolist()
+    table = records(data, BLTE_CHUNK, int.from_bytes(bytes(count), "big"), 12, "chunk table")
+    ends = body + np.cumsum(np.append(0, table["packed"].astype(np.int64)))
+    if flag != 0x0F or 12 + table.nbytes > body or (table["packed"] == 0).any() or ends[-1] > len(data):
+        raise ValueError("chunk table does not fit its container")
+    return b"".join(_chunk(data[a:b], int(n)) for a, b, n in zip(ends, ends[1:], table["plain"]))
 
 
 def _chunk(data: bytes, size: int | None) -> bytes:
-    mode = data[:1]
-    if mode == b"F":
-        return blte(data[1:])
-    if mode == b"N":
-        out = data[1:]
-    elif mode == b"Z":
-        try:
-            out = zlib.decompressobj().decompress(data[1:], (size if size is not None else 1 << 30) + 1)
-        except zlib.error as e:
-            raise ValueError("bad zlib chunk") from e
-    else:
-        raise ValueError("unsupported BLTE chunk mode")
-    if size is not None and len(out) != size:
-        raise ValueError("BLTE chunk of wrong size")
+    decode = {b"N": lambda body: body, b"Z": lambda body: _inflate(body, size), b"F": blte}.get(data[:1])
+    if decode is None:
+        raise ValueError(f"chunks of kind {data[:1]!r} cannot be read")
+    out = decode(data[1:])
+    if size not in (None, len(out)):
+        raise ValueError(f"chunk of {len(out)} bytes, {size} were stated")
     return out
 
 
 def index_rows(data: bytes, bucket: int) -> list[tuple[bytes, int, int, int]]:
     """(9-byte key, archive, offset, size) of an index file."""
-    if len(data) < 0x28:
-        raise ValueError("index too short")
-    version, number = struct.unpack_from("<HB", data, 8)
-    if version != 7 or number != bucket or tuple(data[12:15]) != (4, 5, 9):
-        raise ValueError("unsupported index header")
-    bits, size = data[15], struct.unpack_from("<I", data, 0x20)[0]
-    if size % 18 or 0x28 + size > len(data):
-        raise ValueError("bad index entries")
-    out = []
-    for at in range(0x28, 0x28 + size, 18):
-        place = int.from_bytes(data[at + 9 : at + 14], "big")
-        out.append((data[at : at + 9], place >> bits, place & ((1 << bits) - 1), struct.unpack_from("<I", data, at + 14)[0]))
-    return out
+    head = records(data, INDEX_HEAD, 1, 0, "index")[0]
+    if (head["version"], head["bucket"], *head["fields"]) != (7, bucket, 4, 5, 9) or head["size"] % INDEX_ENTRY.itemsize:
+        raise ValueError(f"no index of bucket {bucket} in a known version")
+    rows = records(data, INDEX_ENTRY, int(head["size"]) // INDEX_ENTRY.itemsize, INDEX_HEAD.itemsize, "index entries")
+    place = rows["place"].astype(np.int64) @ (1 << np.arange(32, -1, -8))
+    bits = int(head["bits"])
+    return list(zip([bytes(k) for k in rows["key"].tolist()], (place >> bits).tolist(), (place & (1 << bits) - 1).tolist(), rows["size"].astype(int).tolist()))
 
 
 def newest_indexes(names: list[str]) -> dict[int, str]:
@@ -385,22 +391,20 @@ def newest_indexes(names: list[str]) -> dict[int, str]:
 
 
 def encoding_rows(data: bytes) -> dict[bytes, bytes]:
-    """Content key -> first encoded key."""
-    if len(data) < 22 or data[:2] != b"EN" or data[3] != 16 or data[4] != 16:
-        raise ValueError("bad encoding table")
-    size, pages, spec = struct.unpack_from(">H", data, 5)[0] * 1024, struct.unpack_from(">I", data, 9)[0], struct.unpack_from(">I", data, 18)[0]
-    first = 22 + spec + pages * 32
-    if not size or first + pages * size > len(data):
-        raise ValueError("encoding table truncated")
+    """Content key -> first encoded key. A page holds entries of a count, a size, the content key and so many encoded keys."""
+    head = records(data, ENCODING_HEAD, 1, 0, "encoding table")[0]
+    if head["magic"] != b"EN" or tuple(head["keys"]) != (16, 16) or not head["page_kb"][0]:
+        raise ValueError("no encoding table with keys of 16 bytes")
+    n, size = int(head["pages"][0]), int(head["page_kb"][0]) * 1024
+    first = ENCODING_HEAD.itemsize + int(head["spec"]) + 32 * n  # a text and an index of the pages come before them
     out = {}
-    for i in range(pages):
-        page, at = data[first + i * size : first + (i + 1) * size], 0
-        while at + 22 <= len(page) and page[at]:
-            n = 6 + 16 * (1 + page[at])
-            if at + n > len(page):
-                raise ValueError("encoding page overruns")
-            out[page[at + 6 : at + 22]] = page[at + 22 : at + 38]
-            at += n
+    for page in records(data, np.dtype((np.void, size)), n, first, "encoding pages"):
+        rest = page.tobytes()
+        while len(rest) >= 22 and (keys := rest[0]):
+            entry, rest = rest[: 22 + 16 * keys], rest[22 + 16 * keys :]
+            if len(entry) < 22 + 16 * keys:
+                raise ValueError("an encoding entry leaves its page")
+            out[entry[6:22]] = entry[22:38]
     return out
 
 
