@@ -4,10 +4,12 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import scalar as S
 from tilewright.operators import cache, nested, relational, treeagg
+from tilewright.session import table
 from tilewright.sinks import files as sinks
 from tilewright.sources import binary
 from tilewright.streaming import zones
@@ -263,3 +265,48 @@ def test_images_are_whole(spark, data, tmp_path):
         folder = analysis.folder_of(g["tileset_key"])
         want = raster.render(maps.pack_from(tables, folder), g["width_tiles"], g["height_tiles"], np.array(g["tiles"]))
         assert (raster.read_png(pngs[k]["png"]) == want).all()
+
+
+def test_batch_job(spark, data, tmp_path):
+    from tilewright.operators import maps
+    from tilewright.plans import batch
+
+    m = maps.maps(table(spark, data, "map_grids"), table(spark, data, "map_catalog"), table(spark, data, "map_metadata")).where("start_locations is not null and size(tiles) = width_tiles * height_tiles")
+    small = m.orderBy(F.size("tiles")).limit(2)
+    u = small.select(F.col("map_id").alias("replay_id"), F.concat(F.lit("p"), "map_id").alias("replay_path"), F.lit(None).cast("string").alias("map_data_name"), *m.columns[1:])
+    late = u.limit(1).withColumn("replay_path", F.lit("z")).withColumn("replay_id", F.lit(-5).cast("long"))
+    broken = u.limit(1).withColumn("map_name", F.lit("Broken")).withColumn("replay_id", F.lit(-6).cast("long")).withColumn("tiles", F.array(F.lit(1)))
+    every = u.unionByName(late).unionByName(broken).unionByName(broken)
+    attributes = table(spark, data, "tile_attr")
+    got = {r["map_key"]: r for r in batch.run(every, attributes, str(tmp_path / "out")).collect()}
+    names = {r["map_key"] for r in relational.first_per_key(every).collect()}
+    assert set(got) == names and got["broken"]["error"] and not any(r["map_id"] == -5 for r in got.values())
+    good = {k for k, r in got.items() if r["error"] is None}
+    assert good and {p.name for p in (tmp_path / "out" / "json").iterdir() if p.is_dir()} == {f"map_key={k}" for k in good}
+    assert {p.name for p in (tmp_path / "out" / "overlay").iterdir()} == {f"{k}.png" for k in good}
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "out" / "digest").glob("part-*")))
+    assert text.startswith("# Replay map base digest") and all(f"`{k}`" in text for k in good)
+    one = sorted(good)[0]
+    assert [r["map_key"] for r in batch.run(every, attributes, str(tmp_path / "one"), one).collect()] == [one]
+    for selector in ("no such map", "broken"):
+        with pytest.raises(ValueError):
+            batch.run(every, attributes, str(tmp_path / "none"), selector)
+
+
+def test_render_with_packs_and_rectangles(spark):
+    import struct
+
+    from tilewright.operators import maps, raster
+
+    pack = b"TSP1" + struct.pack("<III", 33, 2, 2) + bytes(range(256)) * 3 + struct.pack("<33H", 0, 1, *[1] * 31) + struct.pack("<32H", *[0] * 16, *[2] * 16) + bytes(64) + bytes([7] * 64)
+    packs = spark.createDataFrame([("jungle", bytearray(pack)), ("desert", bytearray(b"bad"))], "folder string, pack binary")
+    row = (1, "A", "04-jungle", 2, 2, [0, 1, 1, 0], None, None, None)
+    m = spark.createDataFrame([row, (2, "B", "05-desert", 2, 2, [0, 1, 1, 0], None, None, None)], f"map_id long, map_name string, tileset_key string, width_tiles int, height_tiles int, tiles array<int>, mineral_fields array<{P}>, geysers array<{P}>, start_locations array<{P}>")
+    attributes = spark.createDataFrame([("jungle", 0, 0, 9, 0)], "folder string, tile_id int, mini int, feat smallint, elev smallint")
+    good = packs.where("folder = 'jungle'")
+    got = {r["map_id"]: r for r in maps.render(m, attributes, packs=good, rect=(1, 0, 1, 2)).collect()}
+    image = raster.read_png(bytes(got[1]["png"]))
+    assert image.shape == (64, 32, 4) and image[8, 8, 0] == 21 and image[40, 8, 0] == 0 and got[2]["error"]
+    assert maps.render(m, attributes, packs=good, rect=(2, 0, 1, 1)).where("error is null").count() == 0
+    ground = {r["folder"]: r for r in maps.creep(packs).collect()}
+    assert raster.read_png(bytes(ground["jungle"]["png"])).shape == (128, 128, 4) and ground["desert"]["error"]

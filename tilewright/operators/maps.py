@@ -11,6 +11,7 @@ from tilewright import constants as K
 from tilewright.operators import analysis as A
 from tilewright.operators import cluster, jpeg, outline, raster, regions, terrain
 from tilewright.operators.cluster import arrow_schema
+from tilewright.session import collect_bounded
 
 
 def maps(grids: DataFrame, catalog: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -183,62 +184,96 @@ def pack_from(attributes: dict[str, tuple[np.ndarray, np.ndarray]], folder: str)
     return raster.Pack(palette, np.arange(len(feat)), tone.astype(int) << 1, np.ascontiguousarray(minis))
 
 
+FOLDERS = 64  # rows of a table of packs, at most
+
+
+def packs_of(packs: DataFrame) -> dict[str, raster.Pack]:
+    """``packs(folder, pack)`` with the bytes of tile packs; one a folder, each bounded by its 16-bit numbers."""
+    from tilewright.sources import binary
+
+    one = packs.where("folder is not null and pack is not null").groupBy("folder").agg(F.min("pack").alias("pack"))
+    return {r["folder"]: binary.tile_pack(bytes(r["pack"])) for r in collect_bounded(one, FOLDERS, "tile packs")}
+
+
 RENDER = pa.schema([("map_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("png", pa.binary()), ("error", pa.string())])
 
 
-def render(m: DataFrame, attributes: DataFrame, most: int | None = None, layers: raster.Layers | None = None) -> DataFrame:
-    """(map_id, width, height, png, error): each map drawn, halved until its longer side fits ``most`` pixels."""
+def _drawer(maps_: DataFrame, packs: DataFrame | None, layers: raster.Layers | None, rect, most: int | None):
+    """Draw a map row: with its tileset's pack where a table of packs is given, else in flat tones of the tile attributes."""
+    given = maps_.sparkSession.sparkContext.broadcast(packs_of(packs)) if packs is not None else None
+
+    def draw(row, tables):
+        folder = A.folder_of(row["tileset_key"])
+        pack = pack_from(tables, folder) if given is None else given.value[folder]
+        tiles = np.array(row["tiles"] or [], dtype=np.int64)
+        image = raster.render(pack, row["width_tiles"] or 0, row["height_tiles"] or 0, tiles, A.points(row, "mineral_fields"), A.points(row, "geysers"), layers, rect)
+        if most and (f := raster.downsample_factor(image.shape[1], image.shape[0], most)) > 1:
+            image = raster.box_downsample(image, f)
+        return image
+
+    return draw
+
+
+def _images(m: DataFrame, attributes: DataFrame, draw, encode, column: str) -> DataFrame:
+    """(map_id, width, height, <column>, error); what cannot be drawn is an error row."""
 
     def kernel(row, tables):
         try:
-            w, h = row["width_tiles"] or 0, row["height_tiles"] or 0
-            pack = pack_from(tables, A.folder_of(row["tileset_key"]))
-            image = raster.render(pack, w, h, np.array(row["tiles"] or [], dtype=np.int64), A.points(row, "mineral_fields"), A.points(row, "geysers"), layers)
-            if most and (f := raster.downsample_factor(image.shape[1], image.shape[0], most)) > 1:
-                image = raster.box_downsample(image, f)
-            yield {"map_id": row["map_id"], "width": image.shape[1], "height": image.shape[0], "png": raster.png(image), "error": None}
+            image = draw(row, tables)
+            yield {"map_id": row["map_id"], "width": image.shape[1], "height": image.shape[0], column: encode(image), "error": None}
         except (ValueError, KeyError) as e:
             yield {"map_id": row["map_id"], "error": str(e)}
 
-    return A.per_map(m, attributes, kernel, A.MAP_COLUMNS, "map_id long, width int, height int, png binary, error string", RENDER)
+    sql = f"map_id long, width int, height int, {column} binary, error string"
+    return A.per_map(m, attributes, kernel, A.MAP_COLUMNS, sql, pa.schema([f if f.name != "png" else pa.field(column, pa.binary()) for f in RENDER]))
 
 
-JPEG = pa.schema([("map_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("jpeg", pa.binary()), ("error", pa.string())])
+def render(m: DataFrame, attributes: DataFrame, most: int | None = None, layers: raster.Layers | None = None, packs: DataFrame | None = None, rect=None) -> DataFrame:
+    """(map_id, width, height, png, error): each map, or a rectangle (x, y, w, h) of its tiles, halved until it fits ``most`` pixels.
+
+    ``packs(folder, pack)``: the tilesets' art; a map whose tileset has none is an error row. Without it, tones of the attributes.
+    """
+    return _images(m, attributes, _drawer(m, packs, layers, rect, most), raster.png, "png")
 
 
-def render_jpeg(m: DataFrame, attributes: DataFrame, most: int = K.IMAGE_MAX_DIM, quality: int = 85) -> DataFrame:
-    """(map_id, width, height, jpeg, error): each map drawn, halved until it fits ``most`` pixels, as JPEG."""
+def render_jpeg(m: DataFrame, attributes: DataFrame, most: int = K.IMAGE_MAX_DIM, quality: int = 85, packs: DataFrame | None = None, rect=None) -> DataFrame:
+    """(map_id, width, height, jpeg, error): as ``render``, in JPEG."""
     if most <= 0 or not 1 <= quality <= 100:
         raise ValueError("invalid size or quality")
+    return _images(m, attributes, _drawer(m, packs, None, rect, most), lambda image: jpeg.encode(image, quality), "jpeg")
 
-    def kernel(row, tables):
-        try:
-            w, h = row["width_tiles"] or 0, row["height_tiles"] or 0
-            image = raster.render(pack_from(tables, A.folder_of(row["tileset_key"])), w, h, np.array(row["tiles"] or [], dtype=np.int64))
-            if (f := raster.downsample_factor(image.shape[1], image.shape[0], most)) > 1:
-                image = raster.box_downsample(image, f)
-            yield {"map_id": row["map_id"], "width": image.shape[1], "height": image.shape[0], "jpeg": jpeg.encode(image, quality), "error": None}
-        except (ValueError, KeyError) as e:
-            yield {"map_id": row["map_id"], "error": str(e)}
 
-    return A.per_map(m, attributes, kernel, A.MAP_COLUMNS, "map_id long, width int, height int, jpeg binary, error string", JPEG)
+def creep(packs: DataFrame) -> DataFrame:
+    """(folder, png, error): the creep ground of each tileset's pack."""
+    schema = pa.schema([("folder", pa.string()), ("png", pa.binary()), ("error", pa.string())])
+
+    def run(batches):
+        from tilewright.sources import binary
+
+        for b in batches:
+            for folder, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    pack = binary.tile_pack(data or b"")
+                    row = {"folder": folder, "png": raster.png(raster.coloured(raster.creep_texture(pack), pack.palette))}
+                except ValueError as e:
+                    row = {"folder": folder, "error": str(e)}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return packs.select("folder", "pack").mapInArrow(run, "folder string, png binary, error string")
 
 
-def overlay(m: DataFrame, attributes: DataFrame, scale: int = 1) -> DataFrame:
+def overlay(m: DataFrame, attributes: DataFrame, scale: int = 1, packs: DataFrame | None = None) -> DataFrame:
     """(map_id, width, height, png, error): base regions and chokes over the drawn terrain."""
 
-    def kernel(row, tables):
-        try:
-            folder = A.folder_of(row["tileset_key"])
-            w, h, tiles = row["width_tiles"] or 0, row["height_tiles"] or 0, np.array(row["tiles"] or [], dtype=np.int64)
-            got = A.analyse(w, h, tiles, A.points(row, "mineral_fields"), A.points(row, "geysers"), A.points(row, "start_locations"), *tables[folder], paths=True)
-            d = got["debug"]
-            image = raster.base_shapes(raster.render(pack_from(tables, folder), w, h, tiles), got["starting_locations"] + got["expansions"], d["owner"], d["grid"].w, d["grid"].h, scale)
-            yield {"map_id": row["map_id"], "width": image.shape[1], "height": image.shape[0], "png": raster.png(image), "error": None}
-        except (ValueError, KeyError) as e:
-            yield {"map_id": row["map_id"], "error": str(e)}
+    draw = _drawer(m, packs, None, None, None)
+
+    def shapes(row, tables):
+        w, h, tiles = row["width_tiles"] or 0, row["height_tiles"] or 0, np.array(row["tiles"] or [], dtype=np.int64)
+        got = A.analyse(w, h, tiles, A.points(row, "mineral_fields"), A.points(row, "geysers"), A.points(row, "start_locations"), *tables[A.folder_of(row["tileset_key"])], paths=True)
+        d = got["debug"]
+        return raster.base_shapes(draw(row, tables), got["starting_locations"] + got["expansions"], d["owner"], d["grid"].w, d["grid"].h, scale)
 
-    return A.per_map(m, attributes, kernel, A.MAP_COLUMNS, "map_id long, width int, height int, png binary, error string", RENDER)
+    return _images(m, attributes, shapes, raster.png, "png")
 
 
 def qoi_round_trip(m: DataFrame, attributes: DataFrame) -> DataFrame:

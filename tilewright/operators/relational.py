@@ -274,7 +274,7 @@ def compare(golden: DataFrame, current: DataFrame, key: str = "map_key") -> Data
 
 def digest(results: DataFrame, key: str = "result_id") -> DataFrame:
     """The Markdown section of each result (headings are fixed values): title, duplicate names, starts with naturals, expansions with their starts."""
-    r = results.select("result_id", "map_name", "starting_locations", "expansions").dropDuplicates(["result_id"])
+    r = results.select(*dict.fromkeys(["result_id", key]), "map_name", "starting_locations", "expansions").dropDuplicates(["result_id"])
     starts = F.filter(F.coalesce("starting_locations", F.array()), lambda b: b.isNotNull())
     rest = F.filter(F.coalesce("expansions", F.array()), lambda b: b.isNotNull())
     text = lambda c: F.coalesce(c, F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import scalar as S
 from tilewright.operators import analysis, cache, maps, raster, relational
+from tilewright.plans import batch
 from tilewright.plans.reference import _BASES, _CHARS, _EDITS, _KEY, _MINI
 from tilewright.session import table
 from tilewright.streaming import zones
@@ -72,6 +73,14 @@ def creep_edges(spark, d):
     return n.join(F.broadcast(ranks), "v").select("neighbours", "frame")
 
 
+@query()
+def batch_job(spark, d):
+    """What the batch job makes of the grids' uploads: one row per map key; the job itself also writes documents, images and digest."""
+    m, a = _maps(spark, d)
+    uploads = m.select(F.col("map_id").alias("replay_id"), F.col("map_id").cast("string").alias("replay_path"), F.lit(None).cast("string").alias("map_data_name"), *m.columns[1:])
+    return batch.summary(batch.results(batch.picked(uploads), a))
+
+
 # ---- cache and comparison -------------------------------------------------------------------------------------------
 
 
