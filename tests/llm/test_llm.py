@@ -148,7 +148,7 @@ def test_canonical_map(spark):
 def test_canonical_map_in_blocks(spark):
     """A list worked off in blocks gives what it gives at once: ties, longer names and near entries of other blocks too."""
     listed = [*CATALOG, (11, "Crimson", None), (12, "Basalt Foundra", None), (13, "Ol", None), (14, "Öl", None), (15, "Étang", None), (16, "Etang", None), (17, "Twin", "Twins Peak"), (18, "AB", None), (19, "12", None)]
-    names = [n for n, _ in MEANT] + ["Crimson Meridian Crimson", "Basalt Foundr", "Basaltt Foundri", "ol", "öl", "Étang", "etang 2", "ÉTANG neo", "twins peak", "ab 12", "12 ab x", "Wandring Refinrey se", "Crimsn Meridin"]
+    names = [n for n, _ in MEANT] + ["Crimson Meridian Crimson", "Basalt Foundr", "Basaltt Foundri", "ol", "öl", "Étang", "etang 2", "ÉTANG neo", "twins peak", "ab 12", "12 ab x", "Wandering Refinery Wandering Refinery 2", "Basalt Foundry Basalt Foundra", "ab 12 ab", "Étang Etang", "Etang Ol Öl", "Wandring Refinrey se", "Crimsn Meridin"]
     md = metadata(spark, [(50_000 + i, "p/x", n, None, None) for i, n in enumerate(names)] + [(50_000, "p/x", names[0], None, None)])
     rs = spark.createDataFrame([(7, None)], "result_id long, map_name string")
     model = R.fit(R.metadata_values(md))
@@ -161,6 +161,12 @@ def test_canonical_map_in_blocks(spark):
             assert sorted(tuple(x) for x in C.resolve(md, rs, cat, model, max_forms=bound).collect()) == want
 
 
+def test_two_entries_in_one_name_are_a_tie():
+    r = C.Resolver([(1, "Amber Gate", None), (2, "Cedar Gate", None), (3, "Amber Gate Keep", None)])
+    names = {"Amber Gate Cedar Gate": 0, "amber gate - AMBER GATE 1.2": 1, "Amber Gate Keep vs Cedar Gate": 3, "Cedar Gate": 2}
+    assert {n: r.resolve(n)[0] for n in names} == names and r.resolve("Amber Gate Cedar Gate")[1] == "ambiguous"
+
+
 def test_every_candidate_is_measured():
     """Forms that share more pairs with a name but cannot be meant by it take no places from the one that is."""
     others = [(100 + i, f"Crmson Meridan SE {c}", None) for i, c in enumerate("bcefghijklmopqst")]

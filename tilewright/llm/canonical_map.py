@@ -5,7 +5,7 @@ Then
 
 1. an Aho-Corasick automaton over all canonical and alternative names, letters and digits only, finds embedded
    mentions; a mention must begin and end where a word does (a version mark may be glued to it); the longest
-   non-overlapping mention wins. A left-over "Neo" or "SE" names another entry, which the list does not have;
+   mention wins, as the list writes it before one without accents; two entries mentioned at that length are a tie. A left-over "Neo" or "SE" names another entry, which the list does not have;
 2. what is left goes to token-set similarity: candidates by shared character pairs, then word by word, in any order,
    with tolerance for slips (swapped, doubled, missing, wrong letters), dropped vowels and cut-off ends. The best entry
    must be good enough and clearly better than the next;
@@ -155,7 +155,7 @@ class Resolver:
         for m, t in (("m1", toks), ("m2", [fold(t) for t in toks])):
             if (got := self._longest(t)) is not None:
                 n, at, own, cid, how = got
-                out[m] = {"n": -n, "at": at, "folded": not own, "one": cid is not None, "cid": cid, "how": how}
+                out[m] = {"n": -n, "folded": not own, "at": at, "one": cid is not None, "cid": cid, "how": how}
                 if n >= 3:
                     return out
         out["near"] = [{"score": -s, "cid": cid} for cid, s in self._ranked(toks)[:2]]
@@ -168,9 +168,9 @@ class Resolver:
         cid, how = got[3:]
         if cid is None:
             return 0, "ambiguous", 0.0
-        return None if how is None else (cid, how, 1.0) if how == "mention" else (0, how, 0.0)
+        return (cid, how, 1.0) if how == "mention" else (0, how, 0.0)
 
-    def _longest(self, toks: list[str]) -> tuple[int, int, bool, int | None, str | None] | None:
+    def _longest(self, toks: list[str]) -> tuple[int, int, bool, int | None, str] | None:
         """(length, place, as written, catalog id or None for several, what it means) of the longest mention."""
         flat = "".join(toks)
         starts, at = {}, 0
@@ -178,6 +178,7 @@ class Resolver:
             starts[at] = k
             at += len(t)
         starts[at] = len(toks)
+        rest = lambda a, n: [toks[i] for at, i in starts.items() if i < len(toks) and not a <= at < a + n]
         spans = []
         for end, (n, k, own) in self.auto.iter(flat):
             a, b = end + 1 - n, end + 1
@@ -187,18 +188,16 @@ class Resolver:
                 nxt = min(x for x in starts if x > b)
                 if n < 3 or flat[b:nxt] not in TAGS - OWN_ENTRY:
                     continue
+            if n < 3 and any(not t.isdigit() and t not in TAGS for t in rest(a, n)):
+                continue  # a letter or two among other words is no mention
             spans.append((n, -a, k, own))
         if not spans:
             return None
-        n, a, k, own = max(spans)
-        a = -a
-        rest = [t for at, i in starts.items() if i < len(toks) and not a <= at < a + n for t in [toks[i]]]
-        how = "mention"
-        if OWN_ENTRY & set(rest):
-            how = "other entry"
-        elif n < 3 and any(not t.isdigit() and t not in TAGS for t in rest):
-            how = None
-        return n, a, own, self.forms[k][0] if k >= 0 else None, how
+        n, own = max((n, own) for n, _, _, own in spans)
+        longest = sorted((-a, k) for m, a, k, o in spans if (m, o) == (n, own))
+        a, k = longest[0]
+        entries = {self.forms[k][0] if k >= 0 else None for _, k in longest}
+        return n, a, own, entries.pop() if len(entries) == 1 else None, "other entry" if OWN_ENTRY & set(rest(a, n)) else "mention"
 
     def _similar(self, toks: list[str]) -> tuple[int, str, float]:
         ranked = self._ranked(toks)
@@ -281,21 +280,23 @@ def resolve(metadata: DataFrame, results: DataFrame, catalog: DataFrame, model=N
     return clean.join(_decide(out), "name").select("src_table", "row_id", "catalog_id", "how", "score")
 
 
-_MENTION = [("n", pa.int32()), ("at", pa.int32()), ("folded", pa.bool_()), ("one", pa.bool_()), ("cid", pa.int64()), ("how", pa.string())]
+_MENTION = [("n", pa.int32()), ("folded", pa.bool_()), ("at", pa.int32()), ("one", pa.bool_()), ("cid", pa.int64()), ("how", pa.string())]
 EVIDENCE = pa.schema([("name", pa.string()), ("m1", pa.struct(_MENTION)), ("m2", pa.struct(_MENTION)), ("near", pa.list_(pa.struct([("score", pa.float64()), ("cid", pa.int64())])))])
-_MENTION_SQL = "struct<n:int,at:int,folded:boolean,one:boolean,cid:bigint,how:string>"
+_MENTION_SQL = "struct<n:int,folded:boolean,at:int,one:boolean,cid:bigint,how:string>"
 EVIDENCE_SQL = f"name string, m1 {_MENTION_SQL}, m2 {_MENTION_SQL}, near array<struct<score:double,cid:bigint>>"
 
 
 def _decide(evidence: DataFrame) -> DataFrame:
     """(name, catalog_id, how, score) by the rules of ``Resolver``, from the evidence of all blocks."""
-    # lengths and scores are negative, so the least struct is the best: longest, first, as written, undecided before decided
+    # lengths and scores are negative, so the least struct is the best: longest, as written, first
     best = [F.min(m).alias(m) for m in ("m1", "m2")]
-    last = [F.max(F.when(F.col(m).isNotNull(), F.struct(*((-F.col(f"{m}.{f}")).alias(f) for f in ("n", "at")), (~F.col(f"{m}.folded")).alias("own"), F.col(f"{m}.cid").alias("cid")))).alias(f"{m}_last") for m in ("m1", "m2")]
+    # of the longest mentions, whether one is undecided, and the least and the greatest entry
+    rank = lambda m, *more: F.when(F.col(m).isNotNull(), F.struct(F.col(f"{m}.n"), F.col(f"{m}.folded"), *more))
+    last = [x for m in ("m1", "m2") for x in (F.min(rank(m, F.col(f"{m}.one").alias("one"))).alias(f"{m}_one"), F.min(rank(m, F.col(f"{m}.cid").alias("cid"))).alias(f"{m}_low"), F.min(rank(m, (-F.col(f"{m}.cid")).alias("cid"))).alias(f"{m}_high"))]
     g = evidence.groupBy("name").agg(*best, *last, F.array_sort(F.array_distinct(F.flatten(F.collect_set("near")))).alias("near"))
     how = []
     for m in ("m1", "m2"):
-        several = ~F.col(f"{m}.one") | (F.col(f"{m}.cid") != F.col(f"{m}_last.cid"))  # the greatest id of the same mention
+        several = ~F.col(f"{m}_one.one") | (F.col(f"{m}_low.cid") != -F.col(f"{m}_high.cid"))
         how.append(F.when(F.col(m).isNotNull(), F.when(several, "ambiguous").otherwise(F.col(f"{m}.how"))))
     first, second = -F.get("near", F.lit(0))["score"], -F.get("near", F.lit(1))["score"]
     alike = F.when(first.isNull() | (first < LEAST), "none").when(first - second < AHEAD, "ambiguous").otherwise("similar")
