@@ -310,3 +310,19 @@ def test_render_with_packs_and_rectangles(spark):
     assert maps.render(m, attributes, packs=good, rect=(2, 0, 1, 1)).where("error is null").count() == 0
     ground = {r["folder"]: r for r in maps.creep(packs).collect()}
     assert raster.read_png(bytes(ground["jungle"]["png"])).shape == (128, 128, 4) and ground["desert"]["error"]
+
+
+def test_worker_state_is_built_once_a_process(spark):
+    from tilewright.session import Shared
+
+    shared = Shared(spark, {"n": 3})
+    made = []
+    assert shared.state(lambda v: made.append(1) or v["n"]) == 3 == shared.state(lambda v: made.append(1) or 0) and made == [1]
+
+    def run(batches):
+        kept = shared.state(lambda v: {"used": 0})
+        for b in batches:
+            kept["used"] += 1
+            yield b
+
+    assert spark.range(0, 40, 1, 8).mapInArrow(run, "id long").count() == 40

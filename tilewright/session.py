@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,30 @@ def collect_at_most(df: DataFrame, bound: int) -> list | None:
     return rows if len(rows) <= bound else None
 
 
+KEPT = 3  # states that a Python worker keeps
+_STATE: dict[tuple[str, str], object] = {}
+
+
+class Shared:
+    """A broadcast, and what a Python worker builds from it: once per process instead of once per task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.broadcast, self.key = spark.sparkContext.broadcast(value), uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+    def state(self, make, kind: str = ""):
+        """``make(value)``, built at the first call in this process; only the latest few are kept."""
+        key = (self.key, kind)
+        if key not in _STATE:
+            while len(_STATE) >= KEPT:
+                _STATE.pop(next(iter(_STATE)))
+            _STATE[key] = make(self.value)
+        return _STATE[key]
+
+
 def beside(df: DataFrame, bound: int) -> DataFrame:
     """A lookup side for a join: broadcast if it has at most ``bound`` rows, else left to the planner."""
     return F.broadcast(df) if small_enough(df, bound) else df
