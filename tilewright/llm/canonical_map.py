@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import encoding_repair, lookalikes
-from tilewright.session import cut, widen
+from tilewright.session import Shared, cut, widen
 
 MAX_FORMS = 20_000
 APOSTROPHE = re.compile("['’‘`´]")
@@ -265,7 +265,7 @@ def resolve(metadata: DataFrame, results: DataFrame, catalog: DataFrame, model=N
     total = listed.count()
     blocks = max(1, -(-total // max_forms))
     if blocks == 1:
-        block = spark.sparkContext.broadcast(sorted((r[0], r[1], r[2]) for r in listed.collect()))
+        block = Shared(spark, sorted((r[0], r[1], r[2]) for r in listed.collect()))
         got = names.mapInArrow(lookalikes.clean_batches(shared, finisher(block)), "src_table string, row_id long, catalog_id long, how string, score double")
         return got.dropDuplicates(["src_table", "row_id"])
     clean = cut(names.mapInArrow(lookalikes.clean_batches(shared), lookalikes.SCHEMA).select("src_table", "row_id", F.col("clean_name").alias("name")).dropDuplicates(["src_table", "row_id"]))
@@ -274,7 +274,7 @@ def resolve(metadata: DataFrame, results: DataFrame, catalog: DataFrame, model=N
     for k in range(blocks):
         # at most about max_forms rows reach the driver and the executors at a time; all rows of an entry are in one block
         part = listed.where(F.pmod(F.xxhash64("catalog_id"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(sorted((r[0], r[1], r[2]) for r in part.collect()))
+        block = Shared(spark, sorted((r[0], r[1], r[2]) for r in part.collect()))
         got = widen(each).mapInArrow(witness(block), EVIDENCE_SQL)
         out = got if out is None else out.unionByName(got)
     return clean.join(_decide(out), "name").select("src_table", "row_id", "catalog_id", "how", "score")
@@ -308,7 +308,7 @@ def _decide(evidence: DataFrame) -> DataFrame:
 
 def witness(block):
     def run(batches):
-        r = Resolver(block.value)
+        r = block.state(Resolver)
         for b in batches:
             yield pa.RecordBatch.from_pylist([r.evidence(n) for n in b.column(0).to_pylist()], schema=EVIDENCE)
 
@@ -317,7 +317,7 @@ def witness(block):
 
 def finisher(block):
     def start():
-        r = Resolver(block.value)
+        r = block.state(Resolver)
 
         def run(names):
             got = [r.resolve(n) if n is not None else (0, "none", 0.0) for n in names]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.session import collect_at_most, collect_bounded, cut, widen
+from tilewright.session import Shared, collect_at_most, collect_bounded, cut, widen
 
 IDENTITY = "identity"
 # Read encoding -> encodings the text may really have been written in.
@@ -345,7 +345,7 @@ class Model:
         self.priors = {("*", f): dict(zip(CODES, p)) for f, p in fields.items()} | {(r["source"], r["field"]): dict(zip(CODES, r["prior"])) for r in rows or []}
 
     def share(self, spark):
-        return spark.sparkContext.broadcast((self.counts, self.priors))
+        return Shared(spark, (self.counts, self.priors))
 
     def beside(self, df: DataFrame, source: str, fields: tuple[str, ...]) -> DataFrame:
         """``df`` with the prior of its row's pool for each field as ``prior_<field>``; null where it is broadcast anyway."""
@@ -384,7 +384,7 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> Model:
 
     def count(model):
         def run(batches):
-            rep = Repairer(model.value) if model else None
+            rep = model.state(Repairer) if model else None
             total: dict[str, int] = {}
             for b in batches:
                 for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -399,13 +399,13 @@ def fit(values: DataFrame, rounds: int = ROUNDS) -> Model:
 
         return seen.select("text", "n").mapInArrow(run, "gram string, n long")
 
-    send = values.sparkSession.sparkContext.broadcast
+    send = lambda counts: Shared(values.sparkSession, counts)
     counts = ngram_counts(count(None))  # first model: words that look like words
     counts = ngram_counts(count(send(counts)))  # second model: every value, garbled ones as restored by the first
     model = send(counts)
 
     def weigh(batches):
-        rep = Repairer(model.value)
+        rep = model.state(Repairer)
         for b in batches:
             found = [sorted((RANK[c], min(g, 600.0)) for c, (g, _) in rep.evidence(t).items()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -503,7 +503,7 @@ def repair(metadata: DataFrame, model: Model | None = None, cases: bool = False)
     shared = model.share(metadata.sparkSession)
 
     def run(batches):
-        rep = Repairer(*shared.value)
+        rep = shared.state(lambda parts: Repairer(*parts), "repairer")
         for b in batches:
             for k, field in enumerate(FIELDS):
                 texts = b.column(2 + k)

@@ -174,7 +174,8 @@ def clean_batches(shared, finish=None):
     """
 
     def run(batches):
-        rep, cleaner = encoding_repair.Repairer(*shared.value), Cleaner()
+        rep = shared.state(lambda parts: encoding_repair.Repairer(*parts), "repairer")
+        cleaner = shared.state(lambda _: Cleaner(), "cleaner")
         more = finish() if finish else None
         for b in batches:
             # each distinct spelling of a batch is worked on once, then taken back to its rows

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tilewright.session import widen
+from tilewright.session import Shared, widen
 
 CACHE = 400_000  # words kept per Python worker
 FLUSH = 1_000_000  # ids per output batch
@@ -194,7 +194,7 @@ class PrefixTable:
 def _share(df: DataFrame, vocabulary: str | None):
     """The vocabulary file is read by the driver (its path is a parameter) and sent out: 50 thousand entries."""
     ranks = read_ranks(vocabulary or default_vocabulary())
-    return df.sparkSession.sparkContext.broadcast((ranks, default_pattern(), merge_table(ranks)))
+    return Shared(df.sparkSession, (ranks, default_pattern(), merge_table(ranks)))
 
 
 def encode(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -202,7 +202,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     shared = _share(documents, vocabulary)
 
     def run(batches):
-        v = Vocabulary(*shared.value)
+        v = shared.state(lambda parts: Vocabulary(*parts))
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             flat, offsets, lo = [], [0], 0
@@ -222,7 +222,7 @@ def sizes(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     shared = _share(documents, vocabulary)
 
     def run(batches):
-        v = Vocabulary(*shared.value)
+        v = shared.state(lambda parts: Vocabulary(*parts))
         for b in batches:
             n = pa.array([len(v.encode(t.as_py())) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n], names=["doc_id", "tokens"])
